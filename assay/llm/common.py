@@ -50,6 +50,7 @@ def discard(df: DataFrame) -> None:
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once for each Spark application; small Arrow batches, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     app = spark.sparkContext.applicationId
     with _lock:
         if app in _shipped:
