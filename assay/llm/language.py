@@ -361,18 +361,21 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model.dump() if model else b"")
 
+    others = [c for c in keep if c != text_col]
+    kept = [f"kept_{i}" for i in range(len(others))]
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model.load(sent.value)) if sent.value else None
         for batch in batches:
             lang, score, h, no = zip(*predictions(scorer, batch.column(1).to_pylist(), reject_at, reject_margin), strict=True) if batch.num_rows else ((), (), (), ())
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], ["id", "lang_pred", "score", "cross_entropy", "rejected", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[1 if with_text else 2 :]], ["id", "lang_pred", "score", "cross_entropy", "rejected", *["text"][: int(with_text)], *kept])
 
-    kept = [f"kept_{i}" for i in range(len(keep))]
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
-    types = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
+    with_text = text_col in keep
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(others, kept, strict=True)))
+    types = ", text string" * with_text + "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
     out = rows.mapInArrow(judge, _OUT + types)
-    return out.withColumnsRenamed({k: f"kept_{c}" for c, k in zip(keep, kept, strict=True)})
+    return out.withColumnsRenamed({"text": f"kept_{text_col}"} | {k: f"kept_{c}" for c, k in zip(others, kept, strict=True)})
 
 
 def op4_language_id(spark, sf_dir) -> DataFrame:

@@ -31,11 +31,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place_of(id_: Column, text: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """(id, source, size, place): place is the shuffle's sort key, equal only for equal rows."""
     text = F.col(text_col).cast("string")
-    mark = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(text).alias("size"), mark.alias("place"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(text).alias("size"), place_of(F.col(id_col), text, seed).alias("place"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -145,6 +148,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return taken.join(one.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
+def replicate(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """df's rows, each as often as the mix uses it; of rows that are equal to the mix, the first take what cannot be shared out evenly."""
+    names, text = df.columns, F.col(text_col).cast("string")
+    whole = mixed.groupBy("place", "source").agg(F.sum("uses").alias("total"), F.count("*").alias("rows")).where("total > 0")
+    whole = whole.select(F.col("place").alias("_place"), F.col("source").alias("_src"), "total", "rows")
+    marked = df.select(F.struct(*names).alias("row"), place_of(F.col(id_col), text, seed).alias("place"), F.col(source_col).cast("string").alias("src"))
+    found = marked.join(whole, (F.col("place") == F.col("_place")) & F.col("src").eqNullSafe(F.col("_src")))
+    nth = F.row_number().over(Window.partitionBy("place", "src").orderBy(F.lit(1)))
+    times = F.expr("total div rows") + (F.col("nth") <= F.col("total") % F.col("rows")).cast("long")
+    found = found.withColumn("nth", nth).withColumn("times", times.cast("int")).where("times > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).select("row.*")
+
+
 def op10_source_mixing(spark, sf_dir) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
