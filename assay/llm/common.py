@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import threading
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_lock = threading.Lock()
-_shipped: set[str] = set()
+from assay import session
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,23 +44,10 @@ def discard(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once for each Spark application; small Arrow batches, since texts may be long."""
+    """The package for the Python workers, and small Arrow batches, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    app = spark.sparkContext.applicationId
-    with _lock:
-        if app in _shipped:
-            return
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        where = os.path.join(tempfile.mkdtemp(prefix="assay-ship-"), "assay_package.zip")
-        with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(top):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.join("assay", os.path.relpath(full, top)))
-        spark.sparkContext.addPyFile(where)
-        _shipped.add(app)
+    session.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
