@@ -1 +1 @@
-
+"""Reserved. Judged scores arrive as whole snapshots: a partial snapshot is paired again as a batch."""
