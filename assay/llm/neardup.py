@@ -6,11 +6,12 @@ densification). ``bins / rows`` bands of ``rows`` bins are bucket keys. With the
 bucket with probability (1 - 0.8 ** 8) ** 64, 8 in a million.
 
 Equal sets become one node first, so exact copies cost nothing more. Within a bucket candidates are star-shaped: members are
-compared with a centre only, the member that shares most buckets with others. Where a bucket's members then fall into
-several components, a star round adds twice as many centres as the one before, and pairs within a component are skipped;
-rounds go on until each bucket is one component or all its members have been centres. So no link of a bucket is lost and a
-group of copies costs pairs in proportion to its size. Candidates are confirmed on the full sets of shingle hashes
-(64 bits a shingle); components follow in a distributed way.
+compared with a centre only, the member that shares most buckets with others. Where a bucket's members then still fall into
+several components, a second pass looks at the pairs across components, in blocks of BLOCK members inside a task, and lets
+through only those whose sketches agree: every bin's minimum is kept in two bits, and a pair at the threshold has more
+differing bins than ``most_differing`` allows with a probability under 1e-11 (seven deviations). So no link of a bucket is
+lost, a group of copies makes rows in proportion to its size, and pairs that merely share a common passage make none.
+Candidates are confirmed on the full sets of shingle hashes (64 bits a shingle); components follow in a distributed way.
 
 Cases: a text with fewer words than a shingle is one shingle; null texts, and texts without words, have an empty set, link
 with nothing and are their own component; equal rows are copies of each other; null ids are copies like others but never a
@@ -28,11 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import discard, materialize, ship, table
+from assay.llm.common import materialize, ship, table
 from assay.llm.components import components
 from assay.llm.shingles import scrambled, shingle_set
 
 BINS, ROWS = 512, 8
+BLOCK = 2048
+FEW = 200_000  # rows of (node, mark, id) that may be broadcast: 20 MB at most
+ODD_BITS = np.uint64(0x5555555555555555)
 
 
 class Signer:
@@ -65,35 +69,58 @@ class Signer:
             left, low, step = left[~found], low + step, step * 2
         return out[source]
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
+    def sketch(self, minima: np.ndarray) -> bytes:
+        """Two bits of each minimum."""
+        code = (scrambled(minima) & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+        return (code << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+    def bands(self, minima: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            rows = self.minima(shingles).reshape(-1, self.rows)
+            rows = minima.reshape(-1, self.rows)
             return scrambled((scrambled(rows) * self.factor).sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64)
 
 
+def most_differing(percent: int, bins: int = BINS, deviations: float = 7.0) -> int:
+    """Bins that may differ in two bits for a pair at the threshold."""
+    same = percent / 100 + (1 - percent / 100) / 4
+    return int(np.ceil((1 - same) * bins + deviations * np.sqrt(same * (1 - same) * bins)))
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bins in which packed sketches (..., words) differ."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & ODD_BITS).sum(axis=-1, dtype=np.int32)
+
+
+def _packed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
 def _mark(shingles: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(shingles.tobytes())
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, mark, bands): the set's size and 128-bit fingerprint, and its bucket keys."""
+    """Rows (id, n, mark, sketch, bands): the set's size and 128-bit fingerprint, two bits of each bin, and its bucket keys."""
     ship(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in batches:
-            n, mark, bands = [], [], []
+            n, mark, sketch, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, shingle)
                 n.append(len(s))
                 mark.append(_mark(s))
-                bands.append(signer.bands(s) if len(s) else np.empty(0, np.int64))
+                low = signer.minima(s) if len(s) else None
+                sketch.append(None if low is None else signer.sketch(low))
+                bands.append(np.empty(0, np.int64) if low is None else signer.bands(low))
             ends = np.cumsum([0, *map(len, bands)])
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "mark", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "mark", "sketch", "bands"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, mark binary, bands array<long>")
+    return rows.mapInArrow(sign, "id long, n long, mark binary, sketch binary, bands array<long>")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -131,17 +158,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (id, n_shingles, component_id): one for each document."""
     signed = materialize(sketches(df, id_col, text_col, shingle), "sketches")
     # A node a distinct set. Ids from monotonically_increasing_id are fixed by being written.
-    nodes = signed.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = F.count("*").over(Window.partitionBy("key"))
-    members = nodes.select("node", "n", F.explode("bands").alias("key")).withColumn("held", size).where("held > 1")
+    shared = materialize(nodes.select("node", "n", F.explode("bands").alias("key")).withColumn("held", size).where("held > 1"), "shared")
+    degree = materialize(shared.groupBy("node").agg(F.sum("held").alias("degree")), "degrees")
+    first = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
+    about = nodes.select("node", "sketch").join(degree, "node")
+    members = shared.select("key", "node", "n").join(about, "node")
+    members = members.select("key", "node", "n", "sketch", F.row_number().over(first).alias("nth"), *(F.first(c).over(first).alias(a) for c, a in (("node", "c"), ("n", "cn"), ("sketch", "csketch"))))
     members = materialize(members, "members")
-    degree = members.groupBy("node").agg(F.sum("held").alias("degree"))
-    members = materialize(members.join(degree, "node").select("key", "node", "n", "degree"), "members")
-    asked = materialize(nodes.select("node", "mark", "rep").join(members.select("node").distinct(), "node", "left_semi"), "asked")
-    sets = materialize(_sets(df, asked, id_col, text_col, shingle), "sets")
-    links = _links(members, sets, percent)
-    joined = components(links)
+    count = degree.count()
+    wanted = F.broadcast(degree.select("node")) if count <= FEW else degree.select("node")
+    asked = nodes.select("node", "mark", "rep").join(wanted, "node", "left_semi")
+    sets = materialize(_sets(df, F.broadcast(asked) if count <= FEW else asked, id_col, text_col, shingle), "sets")
+    joined = _joined(members, sets, percent, max(8, count // 20_000))
     named = nodes.select("mark", "node", "rep").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "comp").select("mark", "component_id")
@@ -149,38 +180,99 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) that the buckets' components need, confirmed on full sets."""
-    spark, centres = members.sparkSession, 1
-    tested = None
-    while True:
-        if tested is not None:
-            comps = components(tested.where("linked").select("a", "b"))
-            left = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            left = members.withColumn("comp", F.col("node"))
-        if tested is not None:
-            open_keys = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-            left = materialize(left.join(open_keys, "key", "left_semi"), "open")
-            if left.isEmpty():
-                return tested.where("linked").select("a", "b")
-        placed = left.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node")))
-        first = placed.where(F.col("nth") <= centres)
-        centre = first.select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), F.col("nth").alias("cnth"))
-        pairs = placed.join(centre, "key").where("node != c AND comp != ccomp AND (nth > cnth) AND 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
-        pairs = pairs.select(F.least("node", "c").alias("x"), F.greatest("node", "c").alias("y"), F.col("c").alias("a"), F.col("node").alias("b")).groupBy("x", "y").agg(F.min("a").alias("a"), F.max(F.col("x") + F.col("y")).alias("s"))
-        pairs = pairs.select("a", (F.col("s") - F.col("a")).alias("b"))
-        if tested is not None:
-            done = tested.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(done, ["x", "y"], "left_anti").select("a", "b")
-        full = pairs.join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "sb"), "b").join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "sa"), "a")
-        seen = full.select("a", "b", "sa", "sb").mapInArrow(_overlap, "a long, b long, shared long, na long, nb long")
-        linked = 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
-        now = materialize(seen.select("a", "b", linked.alias("linked")), "tested")
-        tested = now if tested is None else tested.unionByName(now)
-        members = placed.where(F.col("nth") > centres).select("key", "node", "n", "degree")
-        members = materialize(members, "members")
-        centres *= 2
+def _likely(percent: int):
+    """Of (a, b, sketch of a, sketch of b) the pairs whose sketches agree."""
+    most = most_differing(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array(differing(_packed(batch.column(2)), _packed(batch.column(3))) <= most) if batch.num_rows else pa.array([], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return run
+
+
+def likely_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, part: np.ndarray, sketch: np.ndarray, percent: int, rows: int = 32) -> list[np.ndarray]:
+    """(a, b) across components whose sizes and sketches allow a link: all pairs, or with two parts those between the parts."""
+    most, out = most_differing(percent), []
+    own, other = (np.arange(len(node)),) * 2 if part.min() == part.max() else (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max()))
+    for a in range(0, len(own), rows):
+        i = own[a : a + rows]
+        ok = (comp[i][:, None] != comp[other][None, :]) & (100 * np.minimum(n[i][:, None], n[other][None, :]) >= percent * np.maximum(n[i][:, None], n[other][None, :]))
+        if own is other:
+            ok &= i[:, None] < other[None, :]
+        x, y = np.nonzero(ok)
+        near = differing(sketch[i[x]], sketch[other[y]]) <= most
+        if near.any():
+            out.append(np.column_stack([node[i[x[near]]], node[other[y[near]]]]))
+    return out
+
+
+def _across(percent: int):
+    """Rows (key, low, high, part, node, n, comp, sketch), ordered by the first three, to pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        packed: np.ndarray | None = None
+
+        def flush(rows: list[np.ndarray], sketch: np.ndarray, last: bool):
+            key = np.column_stack(rows[:3])
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+            done, out = cut if last else cut[:-1], []
+            for a, b in zip(done[:-1], done[1:], strict=True):
+                if b - a > 1:
+                    order = np.argsort(rows[3][a:b], kind="stable") + a
+                    out += likely_pairs(rows[4][order], rows[5][order], rows[6][order], rows[3][order], sketch[order], percent)
+            at = done[-1]
+            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            made = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            return made, [x[at:] for x in rows], sketch[at:]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            sketch = _packed(batch.column(7))
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            packed = sketch if packed is None else np.concatenate([packed, sketch])
+            made, held, packed = flush(held, packed, False)
+            yield made
+        if held is not None and len(held[0]):
+            yield flush(held, packed, True)[0]
+
+    return run
+
+
+def _joined(members: DataFrame, sets: DataFrame, percent: int, files: int) -> DataFrame:
+    """Components (node, comp) of all links in the buckets. members: (key, node, n, sketch, nth, c, cn, csketch); the centre c, of size cn, is a bucket's first.
+
+    First the centres are compared with all; then, in buckets that still hold several components, likely pairs across them.
+    After that no link between components is left. A bucket of more than BLOCK members is dealt out by pairs of blocks."""
+    alike = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
+    star = members.where("nth > 1").where(alike).select(F.col("c").alias("a"), F.col("node").alias("b"), "csketch", "sketch").mapInArrow(_likely(percent), "a long, b long")
+    tested = _tested(star, sets, percent, files, None)
+    comps = components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    bucket = Window.partitionBy("key")
+    own = members.where("nth > 1").select("key", "node", "n", "sketch", "nth").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = own.withColumns({"least": F.min("comp").over(bucket), "most": F.max("comp").over(bucket), "held": F.max("nth").over(bucket)}).where("least != most")
+    own = own.withColumns({"part": F.expr(f"(nth - 1) div {BLOCK}"), "parts": F.expr(f"(held - 1) div {BLOCK} + 1")})
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = own.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "comp", "sketch")
+    across = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_across(percent), "a long, b long")
+    more = _tested(across, sets, percent, files, tested)
+    return components(tested.unionByName(more).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int, files: int, done: DataFrame | None) -> DataFrame:
+    """Rows (x, y, linked), x < y: the distinct pairs (a, b), but those already done, confirmed on full sets."""
+    own = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"))
+    if done is not None:
+        own = own.join(done.select("x", "y"), ["x", "y"], "left_anti")
+    own = own.select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
+    full = own.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    seen = full.select("a", "b", "sa", "sb").mapInArrow(_overlap, "a long, b long, shared long, na long, nb long")
+    linked = 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+    return materialize(seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), linked.alias("linked")).coalesce(files), "tested")
 
 
 def op7_near_duplicates(spark, sf_dir) -> DataFrame:

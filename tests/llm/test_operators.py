@@ -412,3 +412,23 @@ def test_mix_meets_targets(spark):
     many = mixing.replicate(docs(spark, rows), mixed)
     assert many.count() == sum(r.uses for r in got) and many.columns == docs(spark, rows).columns
     assert mixing.mix(docs(spark, []).limit(0)).count() == 0
+
+
+def test_blocks_of_a_bucket_meet_all_pairs(spark, monkeypatch):
+    rng, signer = np.random.default_rng(7), neardup.Signer()
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.97], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(50)]
+    sketch = np.stack([np.frombuffer(signer.sketch(signer.minima(s)), np.uint64) for s in sets])
+    node, n = np.arange(50), np.array([len(s) for s in sets])
+    got = {tuple(p) for x in neardup.likely_pairs(node, n, node, np.zeros(50, int), sketch, 80, rows=7) for p in x.tolist()}
+    similar = {(a, b) for a in range(50) for b in range(a + 1, 50) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert similar and similar <= got
+    part = np.arange(50) // 25
+    parts = {tuple(sorted(p)) for x in neardup.likely_pairs(node, n, node, part, sketch, 80) for p in x.tolist()}
+    assert parts == {p for p in got if part[p[0]] != part[p[1]]}
+    # The same through batches that cut buckets.
+    rows = [(k, 0, 0, 0, i, int(n[i]), i, sketch[i].tobytes()) for k in range(3) for i in range(50)]
+    names = ["key", "low", "high", "part", "node", "n", "comp", "sketch"]
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    out = [tuple(p.values()) for b in neardup._across(80)(iter(table.to_batches(max_chunksize=13))) for p in b.to_pylist()]
+    assert len(out) == 3 * len(got) and set(out) == got
