@@ -14,7 +14,7 @@ COLUMNS = {
     "is_trap": "CASE WHEN l_suppkey % 10 = 3 THEN 1 ELSE 0 END",
     "regime": "CASE l_suppkey % 4 WHEN 0 THEN 'grounded' WHEN 1 THEN 'ungrounded' ELSE 'structured' END",
     "response_id": "l_orderkey * 10 + l_linenumber",
-    "run_number": "row_number() OVER (PARTITION BY p_brand, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)",
+    "run_number": "CAST(row_number() OVER (PARTITION BY p_brand, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT)",
     "score_a": "CAST(l_quantity AS INT) / 8.0E0",
     "score_b": "greatest(0, least(50, CAST(l_quantity AS INT) + CAST(round(l_discount * 100) AS INT) - 5)) / 8.0E0",
     "score_c": "greatest(0, least(50, CAST(l_quantity AS INT) + CAST(round(l_tax * 100) AS INT) - 4)) / 8.0E0",

@@ -99,7 +99,7 @@ def _(spark, d):
     return S.evaluations(spark, d).groupBy("model").agg(F.sum(F.when(F.col("version").like("v1.%"), 1).otherwise(0)).alias("supplements"), F.count_if(F.col("score") < 2).alias("low"), F.count("*").alias("n"))
 
 
-GRID_SQL = "SELECT g.model, g.level, count(p.model) AS n, avg(p.pair_mean) AS mean_score FROM (SELECT DISTINCT model, unnest([1, 2, 3, 4]) AS level FROM paired) g LEFT JOIN paired p ON g.model = p.model AND g.level = p.level GROUP BY ALL"
+GRID_SQL = "SELECT g.model, g.level, count(p.model) AS n, avg(p.pair_mean) AS mean_score FROM (SELECT DISTINCT model, unnest([1, 2, 3, 4])::BIGINT AS level FROM paired) g LEFT JOIN paired p ON g.model = p.model AND g.level = p.level GROUP BY ALL"
 
 
 @query("dense_grid", with_cte(S.PAIRED_SQL, GRID_SQL))
