@@ -13,8 +13,8 @@ A source may hold any share of the rows: running sums go over hash ranges of a s
 over ranges of slots, so that no task sorts a whole source.
 
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a source, ordered last; null or repeated ids
-and repeated rows are separate documents with their own places on the tape, told apart by (id, source, size, text hash) and
-split evenly by a running number where all are equal; an empty table gives an empty table; extra columns are not read.
+and repeated rows are separate documents with their own places on the tape, told apart by (id, source, size, text hash) and,
+where all are equal, by a running number; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -96,8 +96,8 @@ def _bisect(starts: list[int], low: int = 0, high: int | None = None) -> str:
     return f"CASE WHEN at < {starts[mid]} THEN {_bisect(starts, low, mid)} ELSE {_bisect(starts, mid, high)} END"
 
 
-def tape(sized: DataFrame, one: DataFrame, block_tokens: int, rows_a_range: int = 20_000) -> DataFrame:
-    """(source's ord, id, place, copy, size, start): each document's first token on its source's tape."""
+def tape(sized: DataFrame, one: DataFrame, rows_a_range: int = 20_000) -> DataFrame:
+    """(source's ord, id, place, source, size, copies, first): where on its source's tape the first of each document's equal copies starts."""
     rows = sized.count()
     ranges = 1 << max(0, min(16, (rows // rows_a_range).bit_length()))
     # Ids, texts and sources that are all equal are one document many times over: they share a place and are numbered there.
@@ -134,7 +134,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # How often each block is read whole, and the tokens of its one reading that is cut short, if any.
     short = (F.col("rank") == F.col("last")) & (F.col("cut") < block_tokens)
     reads = slots.groupBy("ord", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.sum(F.when(short, 0).otherwise(1)).alias("whole"), F.max(F.when(short, F.col("cut")).otherwise(0)).alias("cut"))
-    docs = tape(sized, one, block_tokens)
+    docs = tape(sized, one)
     docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
     first, last = F.expr(f"start div {block_tokens}"), F.expr(f"(start + greatest(size, 1) - 1) div {block_tokens}")
     pieces = docs.withColumn("block", F.explode(F.sequence(first, last)))
