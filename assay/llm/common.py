@@ -28,7 +28,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and an executor's loss costs only its own tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._assay_path = path
     return out

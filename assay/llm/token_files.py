@@ -145,7 +145,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             yield flush()
 
     ordered = raw.repartitionByRange(F.col("id").asc_nulls_first(), F.col("mark")).sortWithinPartitions(F.col("id").asc_nulls_first(), "mark").select("id", "ids")
-    ordered.mapInArrow(blocks, "part long, block long, tokens long, body binary").write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(blocks, "part long, block long, tokens long, body binary").write.parquet(f"{folder}/blocks", compression="zstd")
     spark.createDataFrame([(i, int(t)) for i, t in enumerate(ranked)], "rank long, token long").coalesce(1).write.parquet(f"{folder}/ranks")
     discard(raw)
 

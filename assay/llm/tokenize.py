@@ -11,6 +11,8 @@ token's string go to the library whole.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -31,16 +33,19 @@ def _solid(c: str) -> bool:
 class Tokens:
     """Ids of texts as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, words: int = 300_000, pieces: int = 500_000):
+    def __init__(self, path: str, words: int = 400_000, pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.size, self.dtype = size, np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        assert sys.byteorder == "little" and array(self.code).itemsize == self.dtype.itemsize
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.byte = self._bytes()
-        self.words, self.first, self.pieces = _Memo(self._word, words), _Memo(self._start, words // 10), _Memo(self._piece, pieces)
+        self.words, self.first = _Memo(self._word, words), _Memo(self._start, words // 10)
+        self.pieces, self.mapped = _Memo(self._piece, pieces), _Memo(self._mapped, pieces // 10)
 
     @staticmethod
     def _bytes() -> list[str]:
@@ -49,9 +54,14 @@ class Tokens:
         rest = iter(range(256, 512))
         return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
-    def _piece(self, piece: str) -> bytes:
+    def _mapped(self, piece: str) -> bytes:
         """A pre-token in the byte-level alphabet."""
-        return np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token as it stands in the text."""
+        byte = self.byte
+        return self._mapped("".join([byte[b] for b in piece.encode()]))
 
     def _unit(self, unit: str) -> bytes:
         """A stretch of text that begins and ends where the library cuts too."""
@@ -59,13 +69,17 @@ class Tokens:
             parts = CUT.findall(unit)
             if unit[0] == " ":
                 parts[0] = " " + parts[0]
-            byte = self.byte
-            return b"".join([self.pieces["".join([byte[b] for b in p.encode()])] for p in parts])
-        return b"".join([self.pieces[p] for p, _ in self.pre.pre_tokenize_str(unit)])
+            return b"".join([self.pieces[p] for p in parts])
+        return b"".join([self.mapped[p] for p, _ in self.pre.pre_tokenize_str(unit)])
 
     def _word(self, word: str) -> bytes:
         if not word or not _solid(word[0]) or not _solid(word[-1]):
             raise _Unsafe
+        if word.isascii():
+            core = word.rstrip(".,;:!?")
+            if core.isalpha():  # much the commonest shape
+                head = self.pieces[" " + core]
+                return head + self.pieces[word[len(core) :]] if len(core) < len(word) else head
         return self._unit(" " + word)
 
     def _start(self, word: str) -> bytes:
@@ -77,7 +91,7 @@ class Tokens:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split(" ")
         try:
             known = self.words
@@ -94,12 +108,17 @@ class Tokens:
 
 
 class _Memo(dict):
+    """Answers of ``make``. When ``most`` are held they become the old ones, of which those still asked for are taken over."""
+
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
