@@ -46,9 +46,25 @@ def discard(df: DataFrame) -> None:
 def ship(spark: SparkSession) -> None:
     """The package for the Python workers, and small Arrow batches, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     session.ship(spark)
 
 
+_remembered: dict[str, list] = {}
+
+
+def remember(owner: str, clear) -> None:
+    """Register how to empty what a worker process remembers for an operator."""
+    _remembered.setdefault(owner, []).append(clear)
+
+
+def forget_others(*owners: str) -> None:
+    """Called as a task starts: worker processes serve one stage after another, and only the running one's memory should stay."""
+    for owner, clears in _remembered.items():
+        if owner not in owners:
+            for clear in clears:
+                clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

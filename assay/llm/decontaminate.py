@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import ship, table
+from assay.llm.common import forget_others, remember, ship, table
 from assay.llm.shingles import WordHashes, rolling
 
 UNIT = 64  # a weight of 1, as an integer
@@ -45,6 +45,7 @@ class _Normal(WordHashes):
 
 
 _normal = _Normal()
+remember("plain words", _normal.clear)
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -216,6 +217,7 @@ def find_leaks(
 
 def _pass(sent, shingle: int, radius: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("plain words")
         items = Items(sent.value, shingle, radius, similarity)
         for batch in batches:
             out = []

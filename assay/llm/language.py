@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import ship, table
+from assay.llm.common import forget_others, ship, table
 
 ORDER = 4
 SPACE, RARE = 0, 1  # codes of "no letter" and of letters outside the alphabet
-PIECE = 1 << 19  # characters scored at once
+PIECE = 1 << 18  # characters scored at once
 
 
 def held_out(id_col: Column) -> Column:
@@ -365,6 +365,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     kept = [f"kept_{i}" for i in range(len(others))]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         scorer = Scorer(Model.load(sent.value)) if sent.value else None
         for batch in batches:
             lang, score, h, no = zip(*predictions(scorer, batch.column(1).to_pylist(), reject_at, reject_margin), strict=True) if batch.num_rows else ((), (), (), ())

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, ship, table
+from assay.llm.common import forget_others, materialize, ship, table
 from assay.llm.components import components
 from assay.llm.shingles import scrambled, shingle_set
 
@@ -105,6 +105,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     ship(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("words")
         signer = Signer()
         for batch in batches:
             n, mark, sketch, bands = [], [], [], []
@@ -127,6 +128,7 @@ def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle:
     """Rows (node, shingles binary) of the given nodes (node, mark, rep), read from a document that stands for each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("words")
         for batch in batches:
             node, out = [], []
             for n, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, ship, table
+from assay.llm.common import forget_others, materialize, ship, table
 from assay.llm.shingles import scrambled, split_words, word_hashes
 
 CLASSES, MEMBERS, WIDTH, SIDE = 64, 64, 16, 2
@@ -136,6 +136,7 @@ def masked(codes: np.ndarray, mask: float) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch], flat: np.ndarray | None, mask: float) -> Iterator[pa.RecordBatch]:
+    forget_others("words")
     net = Network(flat)
     trainer, words, around, held, total = Trainer(net), [], [], 0, 0
 
@@ -224,6 +225,7 @@ def score(df: DataFrame, flat: np.ndarray | None, id_col: str = "doc_id", text_c
     sent = df.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("words")
         net = Network(sent.value)
         for batch in batches:
             n, total = score_texts(net, batch.column(1).to_pylist())

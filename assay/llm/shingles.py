@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from assay.llm.common import remember
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -22,6 +24,7 @@ class WordHashes(dict):
 
 
 _known = WordHashes()
+remember("words", _known.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

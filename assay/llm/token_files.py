@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import discard, materialize, scratch_path, ship, table
+from assay.llm.common import discard, forget_others, materialize, scratch_path, ship, table
 from assay.llm.tokenize import tokens
 
 MAGIC = b"ASTK1\n\0\0"
@@ -91,6 +91,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary_path: str | Non
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("tokens")
         coder = tokens(vocabulary_path)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
@@ -109,6 +110,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     size, dtype = max(wide.size, end_id + 1), wide.dtype
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         total = np.zeros(size, np.int64)
         for batch in batches:
             total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=size)

@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from assay.llm.common import remember
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIGNS = r"!-&(-/:-@\[-`{-~"  # ASCII signs but the apostrophe, with which contractions start
 PLAIN = re.compile(rf"(?:[{LETTERS}0-9{SIGNS}]|\n(?!\n))+")
@@ -33,7 +35,7 @@ def _solid(c: str) -> bool:
 class Tokens:
     """Ids of texts as little-endian bytes of ``dtype``."""
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 400_000):
+    def __init__(self, path: str, words: int = 250_000, pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -125,6 +127,7 @@ class _Memo(dict):
 
 
 _open: dict[str, Tokens] = {}
+remember("tokens", _open.clear)
 
 
 def tokens(path: str | None) -> Tokens:
