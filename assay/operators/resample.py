@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,23 @@ def replicate_means(plan: DataFrame, stats: DataFrame, by: list[str], value: str
     return joined.groupBy("rep", *by).agg((F.sum(F.col("mult") * F.col(value)) / F.sum(F.col("mult") * F.col("n"))).alias("mean"))
 
 
+def row_means(rows: DataFrame, by: str, value: str, reps: int, seed: int) -> DataFrame:
+    """(rep, by, mean) of replicates that draw rows themselves, as many as a group has, with replacement.
+
+    A mean depends only on how often each distinct value is drawn, and these counts are multinomial: no row is copied.
+    Groups are whole numbers; each has a generator of its own. Null values are no rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).cast("long").alias(by), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+    def draw(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("value")
+        x, n, group = own["value"].to_numpy(), own["n"].to_numpy(), int(own[by].iloc[0])
+        rng = np.random.default_rng([seed, group & (1 << 64) - 1])
+        means = [rng.multinomial(n.sum(), n / n.sum()) @ x / n.sum() for _ in range(reps)]
+        return pd.DataFrame({"rep": np.arange(reps), by: group, "mean": means})
+
+    return counts.groupBy(by).applyInPandas(draw, f"rep int, {by} long, mean double")
+
+
 def interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, reps, ci_low, ci_mid, ci_high): percentiles 2.5, 50 and 97.5 over replicates; nulls are dropped."""
     x = F.col(value)

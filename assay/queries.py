@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import text as T
@@ -21,6 +21,7 @@ from assay.session import ship
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 REPS, SEED = 50, 7
+ROW_REPS = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -849,14 +850,9 @@ BR_SQL = S.PAIRED_SQL + ", rr AS (SELECT level, pair_mean, row_number() OVER (PA
 
 @query("bootstrap_rows_ci", with_cte(BR_SQL, f"SELECT level, {CI_SQL('mean')} FROM m GROUP BY level"))
 def _(spark, d):
-    """Rows themselves are drawn: each is a cluster of its own within its level."""
-    rows = S.paired(spark, d).where("question_id % 20 = 1")
-    own = rows.withColumn("question_id", F.row_number().over(Window.partitionBy("level").orderBy("question_id", "model", "response_id", "pair_mean")).cast("long"))
-    size = own.groupBy("level").agg(F.count("*").alias("size"))
-    drawn = own.select("level", (F.col("question_id") - 1).alias("slot")).join(size, "level").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    key = F.concat_ws(":", F.lit(SEED), "rep", "level", "slot")
-    drawn = drawn.select("rep", "level", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("size")).alias("slot"))
-    means = drawn.join(own.select("level", (F.col("question_id") - 1).alias("slot"), "pair_mean"), ["level", "slot"]).groupBy("rep", "level").agg(F.avg("pair_mean").alias("mean"))
+    """Rows themselves are drawn, all of them, in as many replicates as the reference draws."""
+    ship(spark)
+    means = B.row_means(S.paired(spark, d), "level", "pair_mean", ROW_REPS, SEED)
     return rounded(B.interval(means, ["level"], "mean"), "ci_low", "ci_mid", "ci_high")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import sqlite3
 
@@ -134,6 +135,35 @@ def test_replicates_equal_expanded_rows(spark):
         assert np.allclose(lim[rep], np.percentile([b - a for a, b in rows], [2.5, 97.5]))
 
 
+def test_row_replicates_draw_all_rows(spark):
+    rng = random.Random(4)
+    data = [(1 + i % 3, rng.randint(0, 50) / 8) for i in range(600)]
+    df = spark.createDataFrame(data, "level long, x double")
+    got = sorted(map(tuple, B.row_means(df, "level", "x", 1000, 7).collect()))
+    assert got == sorted(map(tuple, B.row_means(df.repartition(5), "level", "x", 1000, 7).collect())) and len(got) == 3000
+    brute = np.random.default_rng(1)
+    for level in (1, 2, 3):
+        own = np.array([x for k, x in data if k == level])
+        want = own[brute.integers(0, len(own), (4000, len(own)))].mean(axis=1)
+        means = np.array([m for _, k, m in got if k == level])
+        assert abs(means.mean() - own.mean()) < 0.03 and abs(means.std() / want.std() - 1) < 0.1
+        assert np.allclose(np.percentile(means, [2.5, 97.5]), np.percentile(want, [2.5, 97.5]), atol=0.06)
+
+
+def test_registered_row_bootstrap_draws_all_paired_rows(spark):
+    from assay.plans import star
+    from assay.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    rows = star.paired(spark, d).select("level", "pair_mean").collect()
+    for r in QUERIES["bootstrap_rows_ci"](spark, d).collect():
+        own = np.array([x.pair_mean for x in rows if x.level == r.level])
+        half = 1.96 * own.std() / np.sqrt(len(own))
+        assert r.reps == 1000 and np.allclose([r.ci_low, r.ci_mid, r.ci_high], own.mean() + np.array([-half, 0, half]), atol=half / 4)
+
+
 def test_tails():
     assert math.isclose(prob.normal_two_sided(1.959963984540054), 0.05, rel_tol=1e-12)
     assert math.isclose(prob.t_two_sided(2.2281388519649385, 10), 0.05, rel_tol=1e-9)
