@@ -462,8 +462,8 @@ LOCAL_SQL = "'see /Users/ann/' || doc_id || '/notes_' || source || '.md, then \"
 
 @query("redact_paths", rf"""SELECT doc_id, regexp_replace({LOCAL_SQL}, '/Users/(?:[^\s"'',;)/]*/+)*([^\s"'',;)/]+)/*', '[redacted-local-path:\1]', 'g') AS clean FROM documents""")
 def _(spark, d):
-    made = F.expr(LOCAL_SQL.replace('"', '\\"'))
-    return S.table(spark, d, "documents").select("doc_id", T.redact_paths(made).alias("clean"))
+    made = F.expr(LOCAL_SQL.removesuffix(" || ' ' || substr(text, 1, 40)").replace('"', '\\"'))
+    return S.table(spark, d, "documents").select("doc_id", T.redact_paths(F.concat(made, F.lit(" "), "text")).alias("clean"))
 
 
 @query("json_field", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events")

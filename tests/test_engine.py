@@ -210,6 +210,16 @@ def test_redaction(spark):
     assert out == ['{"a": [1, null], "b": "[redacted-local-path:z]"}', "not json [redacted-local-path:q]", "null", None]
 
 
+def test_registered_redaction_reads_whole_texts(spark, tmp_path):
+    from assay.queries import QUERIES
+
+    far = "word " * 5000 + "/Users/eve/deep/secret.txt end"
+    spark.createDataFrame([(1, far, "web"), (2, "short", "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.clean for r in QUERIES["redact_paths"](spark, str(tmp_path)).collect()}
+    assert got[1].endswith(" " + "word " * 5000 + "[redacted-local-path:secret.txt] end") and got[2].endswith(" short")
+    assert all("/Users/" not in x and x.startswith("see [redacted-local-path:notes_web.md], then ") for x in got.values())
+
+
 def test_fingerprint(spark):
     rows = [(1, 2.0), (2, 3.0), (3, None)]
     of = lambda r: export.fingerprint(spark.createDataFrame(r, "a int, b double"), ["a", "b"]).first().fingerprint
