@@ -4,7 +4,8 @@
 ``access`` and ``hex`` are the fixed patterns. Kind ``token`` is the method's: a run of 20 or more base-64 characters
 whose characters per token under a public byte-pair vocabulary are at most ``max_ratio``; common strings of that length
 are made of long tokens, random ones are not. Known digests (hexadecimal of a digest's length), UUIDs and identifiers
-(segments that are words, or words with a short number) are left out first, and so is what overlaps a fixed span.
+are left out, and so is what overlaps a fixed span. An identifier's segments are numbers, or words with at most a short
+number; a word has more than ``max_ratio`` characters a token itself, or is a token: letter case alone makes no word.
 
 Cases: null and empty texts give an empty list; null ids and repeated rows are kept row for row; spans are sorted by
 start, then kind in the order above; whole texts are scanned, whatever their length; extra columns are not read.
@@ -46,11 +47,17 @@ def vocabulary(path: str | None):
     return tiktoken.Encoding("assay", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
+def known(run: str, encode, max_ratio: float) -> bool:
     """Is it a digest, a UUID or an identifier?"""
     if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return True
-    return all(WORDS.fullmatch(x) for x in re.split(r"[+/_=-]+", run))
+
+    def worded(segment: str) -> bool:
+        letters = segment.rstrip("0123456789")
+        n = len(encode(letters)) if WORDS.fullmatch(segment) else None
+        return n is not None and (n <= 1 or len(letters) > max_ratio * n)
+
+    return all(map(worded, re.split(r"[+/_=-]+", run)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -65,7 +72,7 @@ def spans_of(text: str, encode, max_ratio: float) -> list[tuple[str, int, int]]:
     taken = [(a, b) for _, a, b in found]
     for m in RUN.finditer(text):
         run, (a, b) = m.group(), m.span()
-        if not known(run) and len(run) <= max_ratio * len(encode(run)) and not any(a < y and x < b for x, y in taken):
+        if len(run) <= max_ratio * len(encode(run)) and not known(run, encode, max_ratio) and not any(a < y and x < b for x, y in taken):
             found.append(("token", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -114,6 +114,19 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     assert secrets.find_secrets(docs(spark, rows)).count() == len(rows)
 
 
+def test_random_strings_of_one_letter_case_are_found():
+    import string
+
+    rng, encode = random.Random(6), secrets.vocabulary(None).encode_ordinary
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        keys = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 40))) for _ in range(400)]
+        poor = [k for k in keys if len(k) <= 2 * len(encode(k))]
+        found = [k for k in poor if [s[0] for s in secrets.spans_of(f"use {k}12 now", encode, 2.0)] == ["token"]]
+        assert len(poor) > 380 and found == poor
+    for name in ("internationalization_and_localization", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "src/main/resources/templates/index2024", "is_no_new_or_an_old_to_be"):
+        assert secrets.spans_of(f"see {name} now", encode, 2.0) == []
+
+
 # decontamination
 
 ITEM = " ".join(f"word{i}" for i in range(30))
