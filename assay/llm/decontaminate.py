@@ -2,7 +2,7 @@
 
 Words are lower-cased and lose the signs around them; shingles are ``shingle`` consecutive words (an item of fewer words is
 one shingle). A shingle that several items share weighs one over their number, any other weighs 1. A window of a document
-has as many words as the item it is compared with; its 64-bit SimHash adds up its weighted shingles. A window is a
+has as many words as the item it is compared with, and a text of fewer words than the item is one window; its 64-bit SimHash adds up its weighted shingles. A window is a
 candidate for the items of its size whose fingerprints lie within ``radius`` bits: the bits are cut into radius + 1 blocks,
 and two fingerprints that near agree in one block at least, so the look-up of each block finds them all. Candidates are
 verified by their exact weighted-shingle similarity, sum of smaller over sum of larger weighted counts, at least
@@ -156,10 +156,10 @@ class Items:
         h, best = hashes(text), {}
         longest = max(self.sizes, default=0)
         for a in range(0, len(h), PIECE):
-            self._piece(h[a : a + PIECE + longest - 1], a, best)
+            self._piece(h[a : a + PIECE + longest - 1], a, best, not a and len(h) < PIECE + longest)
         return [(k, start, size, sim, dist) for k, (sim, start, size, dist) in sorted(best.items())]
 
-    def _piece(self, h: np.ndarray, base: int, best: dict) -> None:
+    def _piece(self, h: np.ndarray, base: int, best: dict, whole: bool) -> None:
         for width in set(self.width.values()):
             if len(h) < width:
                 continue
@@ -178,7 +178,9 @@ class Items:
                 for size in (s for s in self.sizes_of(grams[run]) if self.width[s] == width):
                     span = size - width + 1  # shingles of a window
                     if len(own) < span:
-                        continue
+                        if not whole:
+                            continue  # the piece before this one holds all windows that are so long
+                        span = len(own)  # the text is shorter than the item: own is all of it
                     inside = np.zeros(len(own) + 1, np.int32)
                     inside[1:] = np.cumsum(np.isin(np.arange(len(own)), run - low, assume_unique=True))
                     starts = np.flatnonzero(inside[span:] > inside[: len(inside) - span])
@@ -190,7 +192,7 @@ class Items:
                             place = base + int(low) + at
                             had = best.get(int(k))
                             if had is None or (sim, -place) > (had[0], -had[1]):
-                                best[int(k)] = (sim, place, size, int(popcount(prints[w : w + 1] ^ self.prints[k : k + 1])[0]))
+                                best[int(k)] = (sim, place, span + width - 1, int(popcount(prints[w : w + 1] ^ self.prints[k : k + 1])[0]))
 
 
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int64())]))

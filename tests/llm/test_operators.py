@@ -156,6 +156,16 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_texts_shorter_than_an_item_are_compared(spark):
+    long = [f"v{i}" for i in range(60)]
+    cut = {30: long[:57], 31: long[3:], 32: long[1:59], 33: long[:20], 34: long[:4], 35: ["pad", *long[:57]]}
+    bench = spark.createDataFrame([(1, " ".join(long), 5), (2, "one two three four five six", 5)], "item_id long, text string, id int")
+    rows = [(i, " ".join(w)) for i, w in cut.items()] + [(36, "One two three four five")]
+    got = {r.id: [(x.item_id, x.start, x.words, round(x.similarity, 6)) for x in r.leaks] for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    near = round(53 / 56, 6)
+    assert got == {30: [(1, 0, 57, near)], 31: [(1, 0, 57, near)], 32: [(1, 0, 58, round(54 / 56, 6))], 33: [], 34: [], 35: [(1, 0, 58, round(53 / 57, 6))], 36: []}
+
+
 # language
 
 WORDS = {"en": "the of and that with from this have they which their would there".split(), "de": "der die und nicht mit ein auch sich über werden können schließlich".split()}
