@@ -8,7 +8,10 @@ and two fingerprints that near agree in one block at least, so the look-up of ea
 verified by their exact weighted-shingle similarity, sum of smaller over sum of larger weighted counts, at least
 ``similarity``. Windows that share no shingle with any item have similarity 0 and get no fingerprint.
 
-The benchmark goes to the executors in blocks of at most ``items_a_block`` items, one pass over the documents each.
+The benchmark goes to the executors in blocks of about ``items_a_block`` items, one pass over the documents each. With
+several blocks, shingles' holders are counted over the whole benchmark first, and every block gets the counts of all
+shingles that several items hold (12 bytes each), since a window may hold shingles of other blocks' items: results do not
+depend on the blocks.
 
 Cases: null and empty texts, and items without words, match nothing; texts are read whole, very long ones in overlapping
 pieces; null and repeated ids on either side are kept row for row; of several windows for one item the most similar
@@ -69,7 +72,8 @@ def popcount(x: np.ndarray) -> np.ndarray:
 class Items:
     """Benchmark items, by their number of words."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], shingle: int, radius: int, similarity: float):
+    def __init__(self, items: list[tuple[int | None, str | None]], shingle: int, radius: int, similarity: float, shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """shared: sorted shingles that several items of the whole benchmark hold, and their holders; where these items are all, none."""
         self.radius, self.similarity = radius, similarity
         coded = [(i, h) for i, h in ((i, hashes(t)) for i, t in items) if len(h)]
         grams = [rolling(h, shingle) for _, h in coded]
@@ -80,7 +84,10 @@ class Items:
         self.width = {s: min(shingle, s) for s in self.sizes}
         held = Counter(x for g in grams for x in set(g.tolist()))
         self.known = np.array(sorted(held), np.uint64)
-        self.weight = np.array([max(1, round(UNIT / held[int(x)])) for x in self.known], np.int32)
+        if shared is None:
+            many = sorted(x for x, n in held.items() if n > 1)
+            shared = np.array(many, np.uint64), np.array([held[x] for x in many], np.int32)
+        self.many, self.weight = shared[0], np.maximum(1, np.round(UNIT / shared[1])).astype(np.int32)
         # Which items hold each known shingle.
         pairs = sorted((x, k) for k, g in enumerate(grams) for x in set(g.tolist()))
         self.holder = np.array([k for _, k in pairs], np.int64)
@@ -102,10 +109,10 @@ class Items:
                 self.index[s, j] = v[order], own[order]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.many):
             return np.full(len(grams), UNIT, np.int32)
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.where(self.known[at] == grams, self.weight[at], UNIT).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.many, grams), len(self.many) - 1)
+        return np.where(self.many[at] == grams, self.weight[at], UNIT).astype(np.int32)
 
     def shared(self, grams: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -210,17 +217,33 @@ def find_leaks(
     others = [c for c in keep if c != text_col]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<struct<item_id: long, start: long, words: long, similarity: double, distance: long>>").alias("leaks"), *(F.col(c).alias(f"kept_{c}") for c in others))
     schema = rows.schema
+    shared = spark.sparkContext.broadcast(None if blocks == 1 else _shared(items, shingle))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
-        rows = rows.mapInArrow(_pass(sent, shingle, radius, similarity), schema)
+        rows = rows.mapInArrow(_pass(sent, shared, shingle, radius, similarity), schema)
     return rows.withColumnRenamed("text", f"kept_{text_col}") if text_col in keep else rows.drop("text")
 
 
-def _pass(sent, shingle: int, radius: int, similarity: float):
+def _shared(items: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several items hold, and how many hold each."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("plain words")
+        for batch in batches:
+            own = [np.unique(rolling(hashes(t), shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], ["gram"])
+
+    held = items.select("text").mapInArrow(grams, "gram long").groupBy("gram").agg(F.count("*").cast("int").alias("n")).where("n > 1").toArrow()
+    x, n = held.column(0).to_numpy().view(np.uint64), held.column(1).to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order].astype(np.int32)
+
+
+def _pass(sent, shared, shingle: int, radius: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("plain words")
-        items = Items(sent.value, shingle, radius, similarity)
+        items = Items(sent.value, shingle, radius, similarity, shared.value)
         for batch in batches:
             out = []
             for text, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

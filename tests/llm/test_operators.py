@@ -166,6 +166,23 @@ def test_texts_shorter_than_an_item_are_compared(spark):
     assert got == {30: [(1, 0, 57, near)], 31: [(1, 0, 57, near)], 32: [(1, 0, 58, round(54 / 56, 6))], 33: [], 34: [], 35: [(1, 0, 58, round(53 / 57, 6))], 36: []}
 
 
+def test_blocks_of_items_change_nothing(spark):
+    common = [f"c{i}" for i in range(18)]
+    texts = {k: [f"k{k}x{i}" for i in range(12)] + common for k in range(12)}
+    bench = spark.createDataFrame([(k, " ".join(w), 5) for k, w in texts.items()] + [(None, " ".join(texts[3]), 5)], "item_id long, text string, id int")
+    rng, rows = random.Random(8), []
+    for i in range(80):
+        w = texts[i % 12][:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"z{rng.randint(0, 99)}"
+        rows.append((i, " ".join(["pad"] * (i % 4) + w)))
+    # One item's own words before another item's shared ones, and the reverse: half of it stands in another block.
+    rows += [(100 + k, " ".join(texts[k][:6] + texts[k + 1][6:])) for k in range(11)]
+    leaks = lambda n: sorted((r.id, *map(repr, x)) for r in decontaminate.find_leaks(docs(spark, rows), bench, items_a_block=n).collect() for x in r.leaks)
+    want = leaks(20_000)
+    assert len(want) > 15 and leaks(2) == want == leaks(5)
+
+
 # language
 
 WORDS = {"en": "the of and that with from this have they which their would there".split(), "de": "der die und nicht mit ein auch sich über werden können schließlich".split()}
