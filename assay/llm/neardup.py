@@ -8,9 +8,11 @@ bucket with probability (1 - 0.8 ** 8) ** 64, 8 in a million.
 Equal sets become one node first, so exact copies cost nothing more. Within a bucket candidates are star-shaped: members are
 compared with a centre only, the member that shares most buckets with others. Where a bucket's members then still fall into
 several components, a second pass looks at the pairs across components, in blocks of BLOCK members inside a task, and lets
-through only those whose sketches agree: every bin's minimum is kept in two bits, and a pair at the threshold has more
-differing bins than ``most_differing`` allows with a probability under 1e-11 (seven deviations). So no link of a bucket is
-lost, a group of copies makes rows in proportion to its size, and pairs that merely share a common passage make none.
+through only those whose sketches agree: every bin's minimum is kept in two bits, and sets with at least SMALL
+shingles that are at the threshold have more differing bins than ``most_differing`` allows with a probability of some 1e-9:
+in simulated pairs that is 5.9 deviations at 80 shingles, and seven from 640 on, where bins are nearly independent. In
+smaller sets few minima fill all bins and deviations are wider (2.3 at 5 shingles), so pairs with a smaller set pass
+unseen and are confirmed on full sets. So hardly a link of a bucket is lost, a group of copies makes rows in proportion to its size, and pairs that merely share a common passage make none.
 Candidates are confirmed on the full sets of shingle hashes (64 bits a shingle); components follow in a distributed way.
 
 Cases: a text with fewer words than a shingle is one shingle; null texts, and texts without words, have an empty set, link
@@ -35,6 +37,7 @@ from assay.llm.shingles import scrambled, shingle_set
 
 BINS, ROWS = 512, 8
 BLOCK = 2048
+SMALL = 64  # sketches of sets with fewer shingles say too little
 FEW = 200_000  # rows of (node, mark, id) that may be broadcast: 20 MB at most
 ODD_BITS = np.uint64(0x5555555555555555)
 
@@ -183,12 +186,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _likely(percent: int):
-    """Of (a, b, sketch of a, sketch of b) the pairs whose sketches agree."""
+    """Of (a, b, sketch of a, sketch of b, size of the smaller) the pairs whose sketches agree, or say too little."""
     most = most_differing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array(differing(_packed(batch.column(2)), _packed(batch.column(3))) <= most) if batch.num_rows else pa.array([], pa.bool_())
+            if batch.num_rows:
+                small = batch.column(4).to_numpy() < SMALL
+                ok = pa.array(small | (differing(_packed(batch.column(2)), _packed(batch.column(3))) <= most))
+            else:
+                ok = pa.array([], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
     return run
@@ -204,7 +211,7 @@ def likely_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, part: np.nda
         if own is other:
             ok &= i[:, None] < other[None, :]
         x, y = np.nonzero(ok)
-        near = differing(sketch[i[x]], sketch[other[y]]) <= most
+        near = (np.minimum(n[i[x]], n[other[y]]) < SMALL) | (differing(sketch[i[x]], sketch[other[y]]) <= most)
         if near.any():
             out.append(np.column_stack([node[i[x[near]]], node[other[y[near]]]]))
     return out
@@ -251,7 +258,7 @@ def _joined(members: DataFrame, sets: DataFrame, percent: int, files: int) -> Da
     First the centres are compared with all; then, in buckets that still hold several components, likely pairs across them.
     After that no link between components is left. A bucket of more than BLOCK members is dealt out by pairs of blocks."""
     alike = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    star = members.where("nth > 1").where(alike).select(F.col("c").alias("a"), F.col("node").alias("b"), "csketch", "sketch").mapInArrow(_likely(percent), "a long, b long")
+    star = members.where("nth > 1").where(alike).select(F.col("c").alias("a"), F.col("node").alias("b"), "csketch", "sketch", F.least("n", "cn").alias("least")).mapInArrow(_likely(percent), "a long, b long")
     tested = _tested(star, sets, percent, files, None)
     comps = components(tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     bucket = Window.partitionBy("key")

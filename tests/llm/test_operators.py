@@ -342,6 +342,24 @@ def test_near_duplicates_against_all_pairs(spark, k):
     assert got == brute_groups(rows, k)
 
 
+def test_links_of_small_sets_pass_whatever_their_sketches():
+    """Pairs with 4 of 5 shingles in common are links, also where more than most_differing bins differ."""
+    signer, rng, most, wide = neardup.Signer(), np.random.default_rng(1), neardup.most_differing(80), 0
+    for _ in range(3000):
+        b = np.sort(rng.integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2))
+        a = np.delete(b, rng.integers(0, 5))
+        sketch = [signer.sketch(signer.minima(x)) for x in (a, b)]
+        packed = np.stack([np.frombuffer(x, np.uint64) for x in sketch])
+        if neardup.differing(packed[0], packed[1]) <= most:
+            continue
+        wide += 1
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([x], pa.binary()) for x in sketch), pa.array([4])], ["a", "b", "csketch", "sketch", "least"])
+        assert [x.num_rows for x in neardup._likely(80)(iter([batch]))] == [1]
+        one = neardup.likely_pairs(np.array([1, 2]), np.array([4, 5]), np.array([1, 2]), np.array([0, 0]), packed, 80)
+        assert [x.tolist() for x in one] == [[[1, 2]]]
+    assert wide
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, ODD).limit(0)).count() == 0
 
