@@ -1,11 +1,12 @@
 """A training-corpus pipeline over ``documents``: five stages, each a table of documents but the last, which is token files' contents.
 
-1. language: texts that fit no learned language go. 2. near_duplicates: of each group the document with the smallest id
-stays (five-word shingles, similarity 0.8). 3. decontaminate: documents with a benchmark item's passage go. 4. mix: each
+1. language: texts that fit no learned language go. 2. near_duplicates: of each group one row stays, that with the
+smallest id (five-word shingles, similarity 0.8). 3. decontaminate: documents with a benchmark item's passage go. 4. mix: each
 document stands as often as the mix of sources reads its first word. 5. tokens: ids are written to files in order of
 doc_id and read back.
 
-Cases: each stage keeps null ids, repeated rows and the columns of documents as its operator defines; empty tables pass through.
+Cases: each stage keeps null ids, repeated rows and the columns of documents as its operator defines, but near_duplicates keeps
+one of repeated rows, and decides by row, not by id; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -30,11 +31,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose id leads its group stay (rows that repeat that id are that document again)."""
-    groups = neardup.near_duplicates(docs)
-    gone = materialize(groups.where("NOT (id <=> component_id)").select("id").distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
-    return left
+    """One row of each group stays: that with the smallest id, a null id last; of equal ids the first row.
+
+    Ids may be null or repeated, so rows are told apart by a number, which being written fixes."""
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows, id_col="row").where("n_shingles > 0").select(F.col("id").alias("row"), F.col("component_id").alias("group"))
+    least = Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    held = groups.join(rows.select("row", "doc_id"), "row").withColumn("nth", F.row_number().over(least))
+    gone = materialize(held.where("nth > 1").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

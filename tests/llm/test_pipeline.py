@@ -36,6 +36,20 @@ def test_stages(spark):
         before = after
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    import corpus_pipeline as C
+
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    near = a.replace("a39", "other")
+    rows = [(1, a), (None, near), (None, b), (5, a), (5, c), (6, c), (None, d), (None, d), (7, e), (7, e), (8, None), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = C.drop_near_duplicates(spark, docs.repartition(3), DATA)
+    want = [(1, a), (None, b), (5, c), (None, d), (7, e), (8, None), (9, ""), (9, ""), (None, None)]
+    assert left.columns == list(C.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    assert C.drop_near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_registry():
     import __spark_entry__ as e
 
