@@ -1,14 +1,16 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network, trained in numpy.
 
-Every word is predicted from the ``2 * SIDE`` words around it. Words are hashed to CLASSES * MEMBERS ids; the network adds
-the neighbours' embeddings, each scaled by its place's own vector, through tanh to a hidden layer, and predicts the word's
-class and then the word within its class (two small softmaxes). A document's score is the sum over its words of the
-conditional log-probability given both sides.
-
-Training reads all documents: in each partition, words masked by a hash of their place and neighbours (one in
-``1 / mask`` of them) are predicted, in order, with Adagrad from a common start; the partitions' networks are averaged,
-weighed by their words, in a tree of tasks of at most FAN networks each. Memory is the network's (under 1 MB) plus a chunk
-of words. The result depends on how the input is split, within what averaging leaves.
+Every word is predicted from the ``2 * SIDE`` words around it. The vocabulary comes from the corpus' counts: words seen
+OWN times or more have ids of their own, in order of frequency; rarer words share ids, RARE of them one, and each has an
+equal share of its id's probability. So ids grow with the input; classes and members of a class are the square root of
+their number. The network adds the neighbours' embeddings, each scaled by its place's own vector, through tanh to a hidden
+layer, and predicts the word's class and then the word within its class (two small softmaxes). A document's score is the
+sum over its words of the conditional log-probability given both sides.
+
+Training reads all documents and predicts every word: in each partition in order, with Adagrad from a common start; the
+partitions' networks are averaged, weighed by their words, in a tree of tasks of at most FAN networks each. Memory is a
+few copies of the network (about 130 bytes an id) and 16 bytes a word of the vocabulary, in every worker and the driver,
+plus a chunk of words. The result depends on how the input is split, within what averaging leaves.
 
 Cases: null and empty texts have 0 words, sum 0 and a null mean; outside a document stand border words; rows are scored
 one by one, so repeated rows and null ids are kept; an empty table trains nothing and gives an empty table; extra columns are
@@ -17,7 +19,9 @@ not read; texts are read whole, in chunks that keep their neighbours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +31,64 @@ from pyspark.sql import functions as F
 from assay.llm.common import forget_others, materialize, ship, table
 from assay.llm.shingles import scrambled, split_words, word_hashes
 
-CLASSES, MEMBERS, WIDTH, SIDE = 64, 64, 16, 2
+CLASSES, MEMBERS, WIDTH, SIDE = 64, 64, 16, 2  # classes and members of a network without a vocabulary
+OWN, RARE = 2, 16
 WORDS = CLASSES * MEMBERS
 BORDER = WORDS
 CHUNK, STEP, FAN = 1 << 15, 1 << 11, 32
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-SHAPES = {"embed": (WORDS + 1, WIDTH), "scale": (len(PLACES), WIDTH), "shift": (WIDTH,), "top": (WIDTH, CLASSES), "top_bias": (CLASSES,), "low": (CLASSES, WIDTH, MEMBERS), "low_bias": (CLASSES, MEMBERS)}
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """Of a network of ``side`` classes with as many members."""
+    return {"embed": (side * side + 1, WIDTH), "scale": (len(PLACES), WIDTH), "shift": (WIDTH,), "top": (WIDTH, side), "top_bias": (side,), "low": (side, WIDTH, side), "low_bias": (side, side)}
+
+
+@dataclass
+class Vocabulary:
+    """Sorted hashes of words with ids of their own, their ids, the number of rarer words, and that of ids they share."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    rarer: int
+    shared: int
+
+    @property
+    def side(self) -> int:
+        return max(2, math.isqrt(max(0, len(self.ids) + self.shared - 1)) + 1)
+
+    @property
+    def share(self) -> float:
+        """The logarithm of how many words share an id."""
+        return math.log(max(1.0, self.rarer / self.shared))
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        out = len(self.ids) + (scrambled(h) % np.uint64(self.shared)).astype(np.int64)
+        if len(self.ids):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.ids) - 1)
+            out = np.where(self.hashes[at] == h, self.ids[at], out)
+        return out
+
+
+@dataclass
+class Model:
+    flat: np.ndarray | None
+    words: Vocabulary
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
-        size = sum(int(np.prod(s)) for s in SHAPES.values())
+    def __init__(self, model: Model | np.ndarray | None = None, seed: int = 3):
+        self.words = model.words if isinstance(model, Model) else None
+        self.side = self.words.side if self.words else CLASSES
+        flat, form = model.flat if isinstance(model, Model) else model, shapes(self.side)
+        size = sum(int(np.prod(s)) for s in form.values())
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([(rng.normal(0, 0.1, s) if k in ("embed", "top", "low") else np.ones(s) if k == "scale" else np.zeros(s)).ravel() for k, s in SHAPES.items()])
+            flat = np.concatenate([(rng.normal(0, 0.1, s) if k in ("embed", "top", "low") else np.ones(s) if k == "scale" else np.zeros(s)).astype(np.float32).ravel() for k, s in form.items()])
         self.flat = np.array(flat, np.float32)
         assert self.flat.size == size
         self.p, at = {}, 0
-        for k, s in SHAPES.items():
+        for k, s in form.items():
             n = int(np.prod(s))
             self.p[k] = self.flat[at : at + n].reshape(s)
             at += n
@@ -55,25 +99,27 @@ class Network:
 
     def log_prob(self, words: np.ndarray, around: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        cls, member = words // MEMBERS, words % MEMBERS
+        cls, member = words // self.side, words % self.side
         z = h @ self.p["top"] + self.p["top_bias"]
         out = z[np.arange(len(words)), cls] - np.log(np.exp(z).sum(axis=1))
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(cls[order], np.arange(self.side + 1))
+        for c in np.unique(cls).tolist():
             own = order[edges[c] : edges[c + 1]]
             if own.size:
                 z = h[own] @ self.p["low"][c] + self.p["low_bias"][c]
                 out[own] += z[np.arange(len(own)), member[own]] - np.log(np.exp(z).sum(axis=1))
+        if self.words:
+            out[words >= len(self.words.ids)] -= self.words.share
         return out
 
-    def gradient(self, words: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log-probability."""
+    def gradient(self, words: np.ndarray, around: np.ndarray) -> dict:
+        """Of the mean log-probability; of embeddings and classes' members (rows, their gradients) where there is any."""
         n, p = len(words), self.p
         e = p["embed"][around]
         h = np.tanh((e * p["scale"]).sum(axis=1) + p["shift"])
-        cls, member = words // MEMBERS, words % MEMBERS
-        g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items() if k != "embed"}
+        cls, member = words // self.side, words % self.side
+        g, low = {}, []
         z = h @ p["top"] + p["top_bias"]
         q = np.exp(z)
         d = -q / q.sum(axis=1, keepdims=True)
@@ -81,15 +127,16 @@ class Network:
         g["top"], g["top_bias"] = h.T @ d / n, d.sum(axis=0) / n
         dh = d @ p["top"].T
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(cls[order], np.arange(self.side + 1))
+        for c in np.unique(cls).tolist():
             own = order[edges[c] : edges[c + 1]]
             if own.size:
                 q = np.exp(h[own] @ p["low"][c] + p["low_bias"][c])
                 d = -q / q.sum(axis=1, keepdims=True)
                 d[np.arange(len(own)), member[own]] += 1
-                g["low"][c], g["low_bias"][c] = h[own].T @ d / n, d.sum(axis=0) / n
+                low.append((c, h[own].T @ d / n, d.sum(axis=0) / n))
                 dh[own] += d @ p["low"][c].T
+        g["low"], g["low_bias"] = [(c, x) for c, x, _ in low], [(c, x) for c, _, x in low]
         dz = dh * (1 - h * h) / n
         g["shift"] = dz.sum(axis=0)
         g["scale"] = (e * dz[:, None, :]).sum(axis=0)
@@ -97,8 +144,7 @@ class Network:
         flat = around.ravel()
         order = np.argsort(flat, kind="stable")
         seen, first = np.unique(flat[order], return_index=True)
-        g["embed"] = np.zeros(SHAPES["embed"], np.float32)
-        g["embed"][seen] = np.add.reduceat(de[order], first, axis=0)
+        g["embed"] = [(seen, np.add.reduceat(de[order], first, axis=0))]
         return g
 
 
@@ -107,20 +153,22 @@ class Trainer:
 
     def __init__(self, net: Network, rate: float = 0.1):
         self.net, self.rate = net, rate
-        self.past = {k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()}
+        self.past = {k: np.full(x.shape, 1e-8, np.float32) for k, x in net.p.items()}
 
     def step(self, words: np.ndarray, around: np.ndarray) -> None:
         for k, g in self.net.gradient(words, around).items():
-            self.past[k] += g * g
-            self.net.p[k] += self.rate * g / np.sqrt(self.past[k])
+            for at, x in g if isinstance(g, list) else [(..., g)]:
+                self.past[k][at] += x * x
+                self.net.p[k][at] += self.rate * x / np.sqrt(self.past[k][at])
 
 
-def coded(text: str | None) -> np.ndarray:
+def coded(text: str | None, vocabulary: Vocabulary | None = None) -> np.ndarray:
     """Word ids between SIDE border words on both sides."""
     words = split_words(text)
-    out = np.full(len(words) + 2 * SIDE, BORDER, np.int64)
+    out = np.full(len(words) + 2 * SIDE, vocabulary.side**2 if vocabulary else BORDER, np.int64)
     if words:
-        out[SIDE:-SIDE] = (scrambled(word_hashes(words)) % np.uint64(WORDS)).astype(np.int64)
+        h = word_hashes(words)
+        out[SIDE:-SIDE] = vocabulary.code(h) if vocabulary else (scrambled(h) % np.uint64(WORDS)).astype(np.int64)
     return out
 
 
@@ -128,16 +176,29 @@ def neighbours(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return codes[at[:, None] + np.array(PLACES)]
 
 
-def masked(codes: np.ndarray, mask: float) -> np.ndarray:
-    """Places of words to predict in training: by a hash of place and neighbours, so not by the word itself."""
-    at = np.flatnonzero(codes[SIDE : len(codes) - SIDE] != BORDER) + SIDE
-    x = scrambled((at.astype(np.uint64) << np.uint64(32)) ^ (codes[at - 1].astype(np.uint64) << np.uint64(16)) ^ codes[at + 1].astype(np.uint64))
-    return at[(x >> np.uint64(40)).astype(np.float64) < mask * (1 << 24)]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_others("words")
+    for batch in batches:
+        h = [word_hashes(split_words(t)) for t in batch.column(0).to_pylist()]
+        x, n = np.unique(np.concatenate([np.empty(0, np.uint64), *h]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+
+def vocabulary(texts: DataFrame) -> Vocabulary | None:
+    """Of a table of one column; null if there is no word."""
+    counted = materialize(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    own, rarer = counted.where(F.col("n") >= OWN).toArrow(), counted.where(F.col("n") < OWN).count()
+    if not own.num_rows and not rarer:
+        return None
+    h, n = own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()
+    ids, order = np.empty(len(h), np.int64), np.argsort(h)
+    ids[np.lexsort((h, -n))] = np.arange(len(h))
+    return Vocabulary(h[order], ids[order], rarer, max(1, -(-rarer // RARE)))
 
 
-def _train(batches: Iterator[pa.RecordBatch], flat: np.ndarray | None, mask: float) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     forget_others("words")
-    net = Network(flat)
+    net = Network(model)
     trainer, words, around, held, total = Trainer(net), [], [], 0, 0
 
     def step() -> None:
@@ -150,8 +211,8 @@ def _train(batches: Iterator[pa.RecordBatch], flat: np.ndarray | None, mask: flo
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            codes = coded(text)
-            at = masked(codes, mask)
+            codes = coded(text, model.words)
+            at = np.arange(SIDE, len(codes) - SIDE)
             for i in range(0, len(at), CHUNK):
                 own = at[i : i + CHUNK]
                 words.append(codes[own]), around.append(neighbours(codes, own))
@@ -174,13 +235,17 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(mean / n).astype(np.float32).tobytes()], pa.binary())], ["n", "net"])
 
 
-def train(df: DataFrame, text_col: str = "text", mask: float = 0.15, rounds: int = 1) -> np.ndarray | None:
-    """The averaged network's parameters; null if there is no word to learn from."""
+def train(df: DataFrame, text_col: str = "text", rounds: int = 1) -> Model | None:
+    """The vocabulary and the averaged network's parameters; null if there is no word to learn from."""
     ship(df.sparkSession)
-    flat = None
+    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    words = vocabulary(texts)
+    if words is None:
+        return None
+    model = Model(None, words)
     for _ in range(rounds):
-        sent = df.sparkSession.sparkContext.broadcast(flat)
-        nets = materialize(df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b, sent=sent: _train(b, sent.value, mask), "n double, net binary"), "networks")
+        sent = df.sparkSession.sparkContext.broadcast(model)
+        nets = materialize(texts.mapInArrow(lambda b, sent=sent: _train(b, sent.value), "n double, net binary"), "networks")
         count = nets.count()
         while count > 1:
             tasks = -(-count // FAN)
@@ -189,8 +254,8 @@ def train(df: DataFrame, text_col: str = "text", mask: float = 0.15, rounds: int
         got = nets.collect()
         if not got:
             return None
-        flat = np.frombuffer(bytes(got[0].net), np.float32)
-    return flat
+        model = Model(np.frombuffer(bytes(got[0].net), np.float32), words)
+    return model
 
 
 def score_texts(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +272,7 @@ def score_texts(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.n
         words, around, owner, held = [], [], [], 0
 
     for i, text in enumerate(texts):
-        codes = coded(text)
+        codes = coded(text, net.words)
         count[i] = len(codes) - 2 * SIDE
         for a in range(SIDE, SIDE + int(count[i]), CHUNK):
             at = np.arange(a, min(a + CHUNK, SIDE + int(count[i])))
@@ -219,10 +284,10 @@ def score_texts(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.n
     return count, total
 
 
-def score(df: DataFrame, flat: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_words, log_prob): the sum of each word's log-probability given its neighbours."""
     ship(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(flat)
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("words")

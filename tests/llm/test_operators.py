@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -280,6 +281,21 @@ def test_training_prefers_seen_order(spark):
     assert pseudo_likelihood.score(docs(spark, ODD), flat).count() == len(ODD)
 
 
+def test_vocabulary_grows_with_the_corpus_and_all_words_are_learnt(spark):
+    rows = lambda k: docs(spark, [(i, " ".join(f"v{i * 20 + j} v{i * 20 + j} once{i}x{j}" for j in range(20))) for i in range(k)])
+    small, large = (pseudo_likelihood.train(rows(k).repartition(2)) for k in (20, 400))
+    assert (len(small.words.ids), small.words.rarer, small.words.shared) == (400, 400, 25)
+    assert (len(large.words.ids), large.words.rarer) == (8000, 8000) and large.flat.size > 10 * small.flat.size
+    own = large.words.code(pseudo_likelihood.word_hashes([b"v%d" % i for i in range(8000)]))
+    assert sorted(own) == list(range(8000))
+    net = pseudo_likelihood.Network(small)
+    around = np.full((1, 4), net.side**2)
+    p = [math.exp(net.log_prob(np.array([i]), around)[0]) for i in range(len(small.words.ids) + small.words.shared)]
+    assert sum(p[:400]) + 16 * sum(p[400:]) <= 1.001
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e", None, "", "a b"])], ["text"])
+    assert [b.column(0).to_pylist() for b in pseudo_likelihood._train(iter([batch]), pseudo_likelihood.Model(None, small.words))] == [[7.0]]
+
+
 # licenses
 
 
