@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assay.llm import components, decontaminate, language, licenses, media, mixing, neardup, pseudo_likelihood, secrets, token_files, url_filter
 from assay.llm.common import scratch_path
 from assay.llm.shingles import shingle_set
+from assay.llm.words import hashed_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, `row` string, node long, label string"
 LONG = "long words here " * 9000
@@ -225,21 +226,36 @@ def test_language_queries(spark):
 # pseudo-likelihood
 
 
+def small_vocabulary(words, rarer=0):
+    """words: {word: count}"""
+    h = np.array([hash_of(w) for w in words], np.uint64)
+    return pseudo_likelihood.Vocabulary.of(h, np.array(list(words.values())), rarer)
+
+
+def hash_of(word):
+    (h,) = next(iter(hashed_texts(pa.array([word]))))
+    return h
+
+
 def test_pseudo_likelihood_against_loops(monkeypatch):
     net = pseudo_likelihood.Network(seed=5)
+    coder = pseudo_likelihood.Coder(small_vocabulary({w: i + 2 for i, w in enumerate("abcdxy")}, rarer=8))
     texts = ["a b c d e", "", None, "one", "x y " * 50]
-    n, total = pseudo_likelihood.score_texts(net, texts)
+    n, total, unknown = pseudo_likelihood.score_column(net, coder, pa.array(texts))
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    for t, k, got in zip(texts, n, total, strict=True):
-        codes, want = pseudo_likelihood.coded(t), 0.0
+    for t, k, got, no in zip(texts, n, total, unknown, strict=True):
+        words, want = (t or "").split(), 0.0
+        ids = ["yxdcba".index(w) if w in "abcdxy" else pseudo_likelihood.UNKNOWN for w in words]
+        codes = [pseudo_likelihood.BORDER] * 2 + ids + [pseudo_likelihood.BORDER] * 2
         for i in range(2, 2 + k):
             h = np.tanh(sum(p["embed"][codes[i + j]] * p["scale"][s] for s, j in enumerate(pseudo_likelihood.PLACES)) + p["shift"])
-            c, m = divmod(int(codes[i]), pseudo_likelihood.MEMBERS)
+            c, m = divmod(codes[i], pseudo_likelihood.MEMBERS)
             for z, at in ((h @ p["top"] + p["top_bias"], c), (h @ p["low"][c] + p["low_bias"][c], m)):
                 want += z[at] - np.log(np.exp(z).sum())
-        assert abs(want - got) < 1e-3 and k == len((t or "").split())
+            want -= np.log(8) if codes[i] == pseudo_likelihood.UNKNOWN else 0
+        assert abs(want - got) < 1e-3 and k == len(words) and no == ids.count(pseudo_likelihood.UNKNOWN)
     monkeypatch.setattr(pseudo_likelihood, "CHUNK", 7)
-    assert np.allclose(total, pseudo_likelihood.score_texts(net, texts)[1], atol=1e-3)
+    assert np.allclose(total, pseudo_likelihood.score_column(net, coder, pa.array(texts))[1], atol=1e-3)
 
 
 def test_pseudo_likelihood_gradient():
@@ -247,8 +263,12 @@ def test_pseudo_likelihood_gradient():
     rng = np.random.default_rng(0)
     words, around = rng.integers(0, pseudo_likelihood.WORDS, 50), rng.integers(0, pseudo_likelihood.WORDS, (50, 4))
     g = net.gradient(words, around)
-    for name in ("shift", "top_bias", "scale"):
-        at = (0,) * g[name].ndim
+    cls, member = divmod(int(words[0]), pseudo_likelihood.MEMBERS)
+    places = {"shift": (0,), "top_bias": (0,), "scale": (0, 0), "top": (3, cls), "low": (cls, 2, member), "low_bias": (cls, member), "embed": (int(around[0, 0]), 1)}
+    rows, sums = g["embed"]
+    g["embed"] = np.zeros(net.p["embed"].shape)
+    g["embed"][rows] = sums
+    for name, at in places.items():
         old, step = net.p[name][at], 0.05
         net.p[name][at] = old + step
         up = net.log_prob(words, around).astype(np.float64).mean()
@@ -270,30 +290,51 @@ def test_training_prefers_seen_order(spark):
         return out
 
     rows = [(i, " ".join(walk(200))) for i in range(150)]
-    flat = pseudo_likelihood.train(docs(spark, rows).repartition(3))
-    net = pseudo_likelihood.Network(flat)
+    model = pseudo_likelihood.train(docs(spark, rows).repartition(3))
+    again = pseudo_likelihood.train(docs(spark, rows[::-1]).repartition(5))
+    assert (model.flat == again.flat).all()  # however the input is split
+    parts = pseudo_likelihood.train(docs(spark, rows), words_a_network=300, rounds=2)  # 100 networks, averaged in two levels
+    net, coder = pseudo_likelihood.Network(model.flat), pseudo_likelihood.Coder(model.words)
     held = walk(400)
     mixed = held[:]
     rng.shuffle(mixed)
-    _, total = pseudo_likelihood.score_texts(net, [" ".join(held), " ".join(mixed)])
-    assert total[0] > total[1] and total[0] / 400 > -np.log(pseudo_likelihood.WORDS)
-    assert pseudo_likelihood.train(docs(spark, [(1, None), (2, "")])) is None
-    assert pseudo_likelihood.score(docs(spark, ODD), flat).count() == len(ODD)
+    for n in (net, pseudo_likelihood.Network(parts.flat)):
+        _, total, _ = pseudo_likelihood.score_column(n, coder, pa.array([" ".join(held), " ".join(mixed)]))
+        assert total[0] > total[1] and total[0] / 400 > -np.log(pseudo_likelihood.WORDS)
+    assert pseudo_likelihood.train(docs(spark, [(1, None), (2, "")])) is None and pseudo_likelihood.train(docs(spark, rows).limit(0)) is None
+    assert pseudo_likelihood.score(docs(spark, ODD), model).count() == len(ODD) and pseudo_likelihood.score(docs(spark, ODD).limit(0), model).count() == 0
+    assert pairs(pseudo_likelihood.score(docs(spark, ODD), None), "n_words", "log_prob") == [(0, 0.0)] * len(ODD)
+
+
+def test_average_of_networks():
+    flat = [np.full(3, k, np.float32) for k in range(70)]
+    rows = [(k, float(k + 1), flat[k].tobytes()) for k in range(70)]
+    random.Random(1).shuffle(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.binary()), strict=True)], ["part", "n", "net"])
+    got = {b.column(0)[0].as_py(): (b.column(1)[0].as_py(), np.frombuffer(b.column(2)[0].as_py(), np.float32)) for b in pseudo_likelihood._average(iter([batch]))}
+    for g, (n, net) in got.items():
+        own = range(32 * g, min(70, 32 * g + 32))
+        assert n == sum(k + 1 for k in own) and np.allclose(net, sum(k * (k + 1) for k in own) / n)
+    assert len(got) == 3
 
 
 def test_vocabulary_grows_with_the_corpus_and_all_words_are_learnt(spark):
-    rows = lambda k: docs(spark, [(i, " ".join(f"v{i * 20 + j} v{i * 20 + j} once{i}x{j}" for j in range(20))) for i in range(k)])
+    rows = lambda k: docs(spark, [(i, " ".join(f"v{i * 20 + j} V{i * 20 + j} once{i}x{j}" for j in range(20))) for i in range(k)])
     small, large = (pseudo_likelihood.train(rows(k).repartition(2)) for k in (20, 400))
-    assert (len(small.words.ids), small.words.rarer, small.words.shared) == (400, 400, 25)
-    assert (len(large.words.ids), large.words.rarer) == (8000, 8000) and large.flat.size > 10 * small.flat.size
-    own = large.words.code(pseudo_likelihood.word_hashes([b"v%d" % i for i in range(8000)]))
-    assert sorted(own) == list(range(8000))
-    net = pseudo_likelihood.Network(small)
-    around = np.full((1, 4), net.side**2)
-    p = [math.exp(net.log_prob(np.array([i]), around)[0]) for i in range(len(small.words.ids) + small.words.shared)]
-    assert sum(p[:400]) + 16 * sum(p[400:]) <= 1.001
+    assert (len(small.words.ids), small.words.rarer) == (400, 400) and (len(large.words.ids), large.words.rarer) == (8000, 8000)
+    assert set(large.words.ids) == set(range(pseudo_likelihood.UNKNOWN))
+    few = pseudo_likelihood.train(docs(spark, [(1, "a a a a b b b b c c c d d e")]), own_words=3)  # c, d and e are unknown then
+    assert len(few.words.ids) == 2 and few.words.rarer == 3
+    for model in (small, large, few):
+        net, coder = pseudo_likelihood.Network(model.flat), pseudo_likelihood.Coder(model.words)
+        p = np.exp(net.log_prob(np.arange(pseudo_likelihood.WORDS, dtype=np.int16), np.full((pseudo_likelihood.WORDS, 4), pseudo_likelihood.BORDER)).astype(np.float64))
+        assert abs(p.sum() - 1) < 1e-3
+        words = np.append(model.words.ids, [pseudo_likelihood.UNKNOWN] * model.words.rarer)
+        share = np.exp(np.append(model.words.share, [coder.unknown] * model.words.rarer))
+        mass = np.bincount(words, share, minlength=pseudo_likelihood.WORDS)
+        assert np.allclose(mass[mass > 0], 1, atol=1e-3)  # the words of an id share its probability
     batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e", None, "", "a b"])], ["text"])
-    assert [b.column(0).to_pylist() for b in pseudo_likelihood._train(iter([batch]), pseudo_likelihood.Model(None, small.words))] == [[7.0]]
+    assert [b.column(1).to_pylist() for b in pseudo_likelihood._train(iter([batch]), pseudo_likelihood.Model(None, small.words))] == [[7.0]]
 
 
 # licenses
