@@ -72,4 +72,7 @@ def components(links: DataFrame, at_once: int = 1_000_000) -> DataFrame:
         discard(labels)
         labels = moved
         if not changed:
-            return labels.select("node", "comp")
+            discard(kept), discard(both)
+            out = materialize(labels.select("node", "comp"), "components")
+            discard(labels)
+            return out

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from assay.llm.common import remember
+from assay.llm.words import hashed_texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -23,19 +24,6 @@ class WordHashes(dict):
         return out
 
 
-_known = WordHashes()
-remember("words", _known.clear)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def scrambled(x: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -56,6 +44,13 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return scrambled(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
-    return np.unique(rolling(word_hashes(split_words(text)), k))
+    (words,) = hashed_texts(pa.array([text], pa.string()))
+    return distinct(rolling(words, k))
