@@ -1,14 +1,19 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-``fit`` learns one model a language from a bounded sample of labelled texts: for each language at most about
-``sample_texts`` distinct texts, those with the smallest hashes. Each model interpolates character n-grams of orders 1 to
-``order`` by Kneser-Ney (continuation counts below the highest order, one discount an order). All models stand in one
-pair of sorted hash arrays: n-grams with their log-probability in each language, and contexts with their log back-off.
+``fit`` learns one model a language from a bounded sample of labelled texts. Each model interpolates character n-grams of
+orders 1 to ``order`` by Kneser-Ney (continuation counts below the highest order, one discount an order). All models stand
+in one pair of sorted hash arrays: n-grams with their log-probability in each language, and contexts with their log back-off.
 Scoring looks up whole texts, all characters of them; the lowest cross-entropy a character wins.
 
-Letters are lower-cased; every run of other characters counts as one space. ``rejected`` marks texts that fit no
-language: their cross-entropy lies further above the mean of held-back sample texts than ``reject_at`` of its deviations
-(which fall with the text's length) and ``reject_margin`` nats.
+Texts of the sample are cut into n-grams and held-back ones scored on the executors; the driver gets counts. Bounds of the
+sample, all parameters: the ``languages`` commonest labels; for each at most about ``sample_texts`` distinct texts, those with
+the smallest hashes, and of these at most ``sample_chars`` code points, or CELLS over the square of the number of languages
+if that is less (the text that crosses the bound is cut there). So the model has at most CELLS numbers, 4 bytes each.
+
+Letters are lower-cased; every run of other characters counts as one space; letters have 16-bit codes, so that all but the
+65,533 commonest of the sample share one. ``rejected`` marks texts that fit no language: their cross-entropy lies further
+above the mean of held-back sample texts than ``reject_at`` of its deviations (which fall with the text's length) and
+``reject_margin`` nats.
 
 Cases: null texts and texts without a letter are ``und``, score 0, rejected; so is every text when nothing could be learned;
 null labels are not learned from; copies of a text are learned once; rows are judged one by one, so repeated rows and null
@@ -24,14 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import forget_others, ship, table
+from assay.llm.common import discard, forget_others, materialize, ship, table
+from assay.llm.words import Finder
 
 ORDER = 4
 SPACE, RARE = 0, 1  # codes of "no letter" and of letters outside the alphabet
 PIECE = 1 << 18  # characters scored at once
+BITS, CELLS = 16, 1 << 26
 
 
 def held_out(id_col: Column) -> Column:
@@ -64,6 +71,14 @@ def folded(text: str) -> np.ndarray:
     return raw[keep]
 
 
+def coder(alphabet: np.ndarray) -> np.ndarray:
+    """For each code point 0 its code."""
+    table = np.full(0x110000, RARE, np.uint16)
+    table[0] = SPACE
+    table[alphabet] = np.arange(2, 2 + len(alphabet), dtype=np.uint16)
+    return table
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -90,10 +105,7 @@ class Model:
         return Model([str(x) for x in z["langs"]], z["alphabet"], bits, order, *([z[f"{k}{i}"] for i in range(order)] for k in ("grams", "logp", "contexts", "backoff")), z["mean"], z["spread"])
 
     def coder(self) -> np.ndarray:
-        table = np.full(0x110000, RARE, np.uint8)
-        table[0] = SPACE
-        table[self.alphabet] = np.arange(2, 2 + len(self.alphabet), dtype=np.uint8)
-        return table
+        return coder(self.alphabet)
 
 
 def keys(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -114,33 +126,6 @@ def hashed(key: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Finder:
-    """Places of hashes in a sorted array: the leading bits give where to start, a few steps the rest."""
-
-    def __init__(self, sorted_hashes: np.ndarray):
-        self.bits = max(4, int(len(sorted_hashes) * 2).bit_length())
-        self.shift = np.uint64(64 - self.bits)
-        lead = (sorted_hashes >> self.shift).astype(np.int64)
-        count = np.bincount(lead, minlength=1 << self.bits)
-        self.start = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        self.steps = int(count.max(initial=0))
-        self.hashes = np.append(sorted_hashes, ~np.uint64(0))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """-1 where it isn't there."""
-        at = self.start[(h >> self.shift).astype(np.int64)]
-        out = np.where(self.hashes[at] == h, at, -1)
-        left = np.flatnonzero(out < 0)
-        for step in range(1, self.steps):
-            if not left.size:
-                break
-            place = np.minimum(at[left] + step, len(self.hashes) - 1)
-            hit = self.hashes[place] == h[left]
-            out[left[hit]] = place[hit]
-            left = left[~hit]
-        return out
-
-
 class Scorer:
     def __init__(self, model: Model):
         self.m, self.code = model, model.coder()
@@ -211,24 +196,25 @@ class Scorer:
         return total, count
 
 
-def _count(by_lang: dict[str, list[np.ndarray]], order: int, bits: int) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-    """Distinct keys and counts by language and order, from coded texts."""
-    out = {}
-    for lang, texts in by_lang.items():
-        out[lang] = [np.unique(np.concatenate([keys(t, n, bits) for t in texts]), return_counts=True) for n in range(1, order + 1)]
-    return out
+def grams(text: str, code: np.ndarray, order: int) -> np.ndarray:
+    """Keys of a text's n-grams of the highest order, spaces before it; of a text without letters none."""
+    raw = folded(text)
+    if not raw.any():
+        return np.empty(0, np.uint64)
+    return keys(np.concatenate([np.zeros(order - 1, np.uint64), code[raw[1:]].astype(np.uint64)]), order, BITS)
 
 
-def kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], symbols: int, bits: int) -> tuple[list, list]:
-    """By order: (keys, log-probability) of n-grams, and (contexts, log back-off) of what they start with."""
-    order, grams, contexts = len(counts), [], []
+def kneser_ney(key: np.ndarray, count: np.ndarray, order: int, symbols: int, bits: int) -> tuple[list, list]:
+    """By order: (keys, log-probability) of n-grams, and (contexts, log back-off) of what they start with, from the counts of the highest order."""
+    held, grams, contexts = [key], [], []
+    for n in range(order - 1, 0, -1):  # shorter n-grams are ends of longer ones, or their starts where a text begins
+        mask = np.uint64((1 << (bits * n)) - 1)
+        held.insert(0, np.unique(np.concatenate([held[0] & mask, held[0] >> np.uint64(bits)])))
     low_key, low_p = None, None
     for n in range(1, order + 1):
-        key, c = counts[n - 1]
-        if n < order:  # continuation counts: before how many distinct characters' sake an n-gram occurs
-            longer = counts[n][0] & np.uint64((1 << (bits * n)) - 1)
-            inner, c = np.unique(longer, return_counts=True)
-            key = inner
+        key, c = held[n - 1], count
+        if n < order:  # continuation counts: after how many distinct characters an n-gram occurs
+            key, c = np.unique(held[n] & np.uint64((1 << (bits * n)) - 1), return_counts=True)
         c = c.astype(np.float64)
         ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
@@ -261,41 +247,28 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]], fill) -> tuple[np.ndarray
     return every, out
 
 
-def train(by_lang: dict[str, list[str]], order: int = ORDER, alphabet_size: int = 253) -> Model | None:
-    """A model from labelled texts; a fifth of each language's texts is held back to calibrate rejection."""
-    langs = sorted(k for k, v in by_lang.items() if v)
-    if not langs:
-        return None
-    raw = {k: [folded(t) for t in by_lang[k]] for k in langs}
-    seen, n = np.unique(np.concatenate([x for v in raw.values() for x in v] + [np.zeros(1, np.uint32)]), return_counts=True)
-    seen, n = seen[seen != 0], n[seen != 0]
-    alphabet = np.sort(seen[np.lexsort((seen, -n))][:alphabet_size])
-    model = Model(langs, alphabet, 8, order, [], [], [], [], np.zeros(len(langs)), np.ones(len(langs)))
-    code, pad = model.coder(), np.zeros(order - 1, np.uint64)
-    coded = {k: [np.concatenate([pad, code[x[1:]].astype(np.uint64)]) for x in v if len(x) > 1] for k, v in raw.items()}
-    fit = {k: [x for i, x in enumerate(v) if i % 5 or len(v) < 5] or [pad] for k, v in coded.items()}
-    counts = _count(fit, order, model.bits)
-    symbols = len(alphabet) + 2
-    tables = [kneser_ney(counts[k], symbols, model.bits) for k in langs]
+def build(langs: list[str], alphabet: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
+    """A model from each language's counts of n-grams of the highest order; not calibrated yet."""
+    model = Model(langs, alphabet, BITS, order, [], [], [], [], np.zeros(len(langs)), np.ones(len(langs)))
+    symbols, step = len(alphabet) + 2, np.uint64(BITS)
+    tables = [kneser_ney(k, n, order, symbols, BITS) for k, n in counts]
     floor = [np.float32(np.log(1 / symbols)) for _ in langs]
     for n in range(1, order + 1):
-        mask = np.uint64((1 << (8 * (n - 1))) - 1)
 
-        def lower(j: int, key: np.ndarray, n=n, mask=mask) -> np.ndarray:
+        def lower(j: int, key: np.ndarray, n=n) -> np.ndarray:
             """log back-off of the context in language j (0 if it has none) plus the shorter n-gram's log-probability."""
+            ctx, rest = tables[j][1][n - 1]
             if n == 1:
-                ctx, rest = tables[j][1][0]
                 return np.full(len(key), floor[j] + (rest[0] if len(rest) else 0), np.float32)
-            ctx, rest = tables[j][1][n - 1]
-            at = np.minimum(np.searchsorted(ctx, key >> np.uint64(8)), max(len(ctx) - 1, 0))
-            off = np.where(ctx[at] == key >> np.uint64(8), rest[at], 0.0)
-            short = key & mask
+            at = np.minimum(np.searchsorted(ctx, key >> step), max(len(ctx) - 1, 0))
+            off = np.where(ctx[at] == key >> step, rest[at], 0.0)
+            short = key & np.uint64((1 << (BITS * (n - 1))) - 1)
             at = np.minimum(np.searchsorted(model.grams[n - 2], short), len(model.grams[n - 2]) - 1)
             have = model.grams[n - 2][at] == short
             rest_p = np.empty(len(key))
             rest_p[have] = model.logp[n - 2][at[have], j]
             if (~have).any():
-                rest_p[~have] = lower(j, short[~have], n - 1, np.uint64((1 << (8 * (n - 2))) - 1))
+                rest_p[~have] = lower(j, short[~have], n - 1)
             return (off + rest_p).astype(np.float32)
 
         k, v = _merge([t[0][n - 1] for t in tables], lower)
@@ -308,32 +281,133 @@ def train(by_lang: dict[str, list[str]], order: int = ORDER, alphabet_size: int
         model.grams.append(k), model.logp.append(v)
         c, b = _merge([t[1][n - 1] for t in tables], lambda j, key: np.zeros(len(key)))
         model.contexts.append(c), model.backoff.append(b.astype(np.float32))
-    scorer = Scorer(model)
-    for j, k in enumerate(langs):
-        back = [t for i, t in enumerate(by_lang[k]) if not i % 5] if len(by_lang[k]) >= 5 else by_lang[k]
-        total, count = scorer.texts(back)
-        ok = count > 0
-        if ok.any():
-            h = -total[ok, j] / count[ok]
-            model.mean[j] = total[ok, j].sum() / -count[ok].sum()
-            model.spread[j] = max(0.5, float(np.sqrt(np.mean((h - model.mean[j]) ** 2 * count[ok]))))
     return model
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = 1500, order: int = ORDER, learn: Column | None = None) -> Model | None:
-    """Learn from the labelled rows for which ``learn`` holds. The driver gets at most about sample_texts texts a language."""
+def letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.concatenate([np.empty(0, np.uint32), *map(folded, texts)])
+    return np.unique(raw[raw != 0], return_counts=True)
+
+
+def commonest(letters: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The letters that get a code of their own, sorted."""
+    return np.sort(letters[np.lexsort((letters, -n))][: (1 << BITS) - 3])
+
+
+def moments(scorer: Scorer, lang: int, texts: list[str]) -> np.ndarray:
+    """(texts, characters, sum of cross-entropies, sum of their squares a character) of texts in their own language."""
+    total, count = scorer.texts(texts)
+    own, n = -total[count > 0, lang], count[count > 0]
+    return np.array([len(n), n.sum(), own.sum(), (own * own / n).sum()])
+
+
+def calibrate(model: Model, sums: dict[int, np.ndarray]) -> Model:
+    """Each language's mean cross-entropy a character, and its texts' deviation times the square root of their length."""
+    for j, (texts, n, first, second) in sums.items():
+        if n:
+            model.mean[j] = first / n
+            model.spread[j] = max(0.5, float(np.sqrt(max(0.0, second - first * first / n) / texts)))
+    return model
+
+
+def _held_back(nth: int, texts: int) -> bool:
+    """A fifth of a language's texts calibrates rejection; of few texts all learn and calibrate."""
+    return texts < 5 or nth % 5 == 0
+
+
+def _learns(nth: int, texts: int) -> bool:
+    return texts < 5 or nth % 5 != 0
+
+
+def train(by_lang: dict[str, list[str]], order: int = ORDER) -> Model | None:
+    """A model from labelled texts that are at hand."""
+    langs = sorted(k for k, v in by_lang.items() if v)
+    if not langs:
+        return None
+    alphabet = commonest(*letter_counts([t for k in langs for t in by_lang[k]]))
+    code, pick = coder(alphabet), lambda f, k: [t for i, t in enumerate(by_lang[k]) if f(i, len(by_lang[k]))]
+    counts = [np.unique(np.concatenate([np.zeros(1, np.uint64), *(grams(t, code, order) for t in pick(_learns, k))]), return_counts=True) for k in langs]
+    model = build(langs, alphabet, counts, order)
+    scorer = Scorer(model)
+    return calibrate(model, {j: moments(scorer, j, pick(_held_back, k)) for j, k in enumerate(langs)})
+
+
+def sample(rows: DataFrame, held: dict[str, int], sample_texts: int, sample_chars: int) -> DataFrame:
+    """(lang number, nth, texts, text): the texts to learn from, numbered by hash in each language of ``held`` (label: rows)."""
+    spark = rows.sparkSession
+    about = spark.createDataFrame([(j, k, min(1.0, 1.2 * sample_texts / held[k])) for j, k in enumerate(sorted(held))], "number int, label string, share double")
+    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
+    few = rows.join(F.broadcast(about), F.col("lang") == F.col("label")).withColumn("h", spread).where("h < share")  # a row a language: at most ``languages``
+    few = few.groupBy("number", "h", F.sha2("text", 256).alias("same")).agg(F.max("text").alias("text"))
+    own = Window.partitionBy("number")
+    few = few.withColumns({"nth": F.row_number().over(own.orderBy("h", "same")) - 1, "upto": F.sum(F.length("text")).over(own.orderBy("h", "same").rowsBetween(Window.unboundedPreceding, 0))})
+    few = few.where((F.col("nth") < sample_texts) & (F.col("upto") - F.length("text") < sample_chars))
+    cut = F.expr(f"substring(text, 1, cast(length(text) - greatest(0, upto - {sample_chars}) as int))")
+    return few.select("number", "nth", F.count("*").over(own).alias("texts"), cut.alias("text"))
+
+
+def fit(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = 1500, sample_chars: int = 1 << 22, languages: int = 64, order: int = ORDER, learn: Column | None = None
+) -> Model | None:
+    """Learn from the labelled rows for which ``learn`` holds."""
+    spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("learn")).where("learn AND lang IS NOT NULL AND text IS NOT NULL")
-    held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not held:
         return None
-    # A text is in the sample if its hash, spread over [0, 1), falls under its language's share; then the smallest hashes.
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in held.items() for x in (k, min(1.0, 1.2 * sample_texts / n)))), F.col("lang"))
-    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    few = rows.withColumn("h", spread).where(F.col("h") < share).groupBy("lang", "h", F.sha2("text", 256).alias("same")).agg(F.max("text").alias("text"))
-    by_lang: dict[str, list[tuple]] = {k: [] for k in held}
-    for r in few.select("lang", "h", "same", "text").toLocalIterator():
-        by_lang[r.lang].append((r.h, r.same, r.text))
-    return train({k: [t for _, _, t in sorted(v)[:sample_texts]] for k, v in by_lang.items()}, order)
+    few = materialize(sample(rows.drop("learn"), held, sample_texts, min(sample_chars, CELLS // len(held) ** 2)).repartition(max(1, len(held)), "number"), "sample")
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, str]]:
+        return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def letters_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        for batch in batches:
+            x, n = letter_counts(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["letter", "n"])
+
+    found = few.mapInArrow(letters_in, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n")).toArrow()
+    alphabet = commonest(found.column(0).to_numpy().astype(np.uint32), found.column(1).to_numpy())
+
+    def grams_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        code = coder(alphabet)
+        for batch in batches:
+            own: dict[int, list[np.ndarray]] = {}
+            for number, nth, texts, text in of_batch(batch):
+                if _learns(nth, texts):
+                    own.setdefault(number, []).append(grams(text, code, order))
+            for number, keys_of in own.items():
+                x, n = np.unique(np.concatenate(keys_of), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), number), pa.int64()), pa.array(x.view(np.int64)), pa.array(n, pa.int64())], ["number", "gram", "n"])
+
+    counted = few.mapInArrow(grams_in, "number long, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n")).toArrow()
+    number, gram, n = (counted.column(k).to_numpy() for k in range(3))
+    counts = []
+    for j in range(len(held)):
+        key, own = gram[number == j].view(np.uint64), n[number == j]
+        key, own = np.append(key, np.uint64(0)), np.append(own, 1)  # spaces alone, so that no language is without an n-gram
+        key, place = np.unique(key, return_inverse=True)
+        counts.append((key, np.bincount(place, own).astype(np.int64)))
+    model = build(sorted(held), alphabet, counts, order)
+    sent = spark.sparkContext.broadcast(model.dump())
+
+    def scores_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        scorer = Scorer(Model.load(sent.value))
+        for batch in batches:
+            own: dict[int, list[str]] = {}
+            for number, nth, texts, text in of_batch(batch):
+                if _held_back(nth, texts):
+                    own.setdefault(number, []).append(text)
+            for number, back in own.items():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([float(x)]) for x in moments(scorer, number, back))], ["number", "texts", "n", "first", "second"])
+
+    sums = few.mapInArrow(scores_in, "number long, texts double, n double, first double, second double").groupBy("number").agg(*(F.sum(c).alias(c) for c in ("texts", "n", "first", "second"))).collect()
+    discard(few)
+    sent.unpersist()
+    return calibrate(model, {r.number: np.array([r.texts, r.n, r.first, r["second"]]) for r in sums})
 
 
 _OUT = "id long, lang_pred string, score double, cross_entropy double, rejected boolean"
