@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import discard, forget_others, materialize, scratch_path, ship, table
 from assay.llm.tokenize import tokens
+from assay.llm.words import raw
 
 MAGIC = b"ASTK1\n\0\0"
 BLOCK_TOKENS = 1 << 18
@@ -93,33 +94,50 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary_path: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("tokens")
         coder = tokens(vocabulary_path)
-        end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            ids = [coder.encode(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())], ["id", "mark", "ids"])
+            flat, upto = [np.empty(0, coder.dtype)], [np.zeros(1, np.int64)]
+            for ids, ends in coder.encode(batch.column(1), end_id):
+                flat.append(ids), upto.append(ends + upto[-1][-1])
+            data, at = np.concatenate(flat).tobytes(), np.concatenate(upto) * coder.dtype.itemsize
+            view, cut = memoryview(data), at.tolist()
+            mark = [zlib.crc32(view[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            held = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, pa.int64()), held], ["id", "mark", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, mark long, ids binary")
 
 
+def vocabulary_size(spark, vocabulary_path: str | None) -> int:
+    """As an executor reads it: the driver needn't hold a tokenizer."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("tokens")
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens(vocabulary_path).size], pa.int64())], ["size"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(size, "size long").collect()[0][0]
+
+
 def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write all documents of df to the folder, in ascending order of id."""
     spark = df.sparkSession
-    raw = materialize(encode(df, id_col, text_col, vocabulary_path, end_id), "tokens")
-    wide = tokens(vocabulary_path)
-    size, dtype = max(wide.size, end_id + 1), wide.dtype
+    texts = materialize(encode(df, id_col, text_col, vocabulary_path, end_id), "tokens")
+    known = vocabulary_size(spark, vocabulary_path)
+    size, dtype = max(known, end_id + 1), np.dtype("<u2" if known <= 1 << 16 else "<u4")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=size)
+            total += np.bincount(raw(batch.column(0))[0].view(dtype), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
     # At most a row an id of the vocabulary.
-    used = raw.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    ranked = used.sort_values(["n", "token"], ascending=[False, True]).token.to_numpy(np.int64)
+    used = texts.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = used.column(0).to_numpy().astype(np.int64), used.column(1).to_numpy().astype(np.int64)
+    ranked = token[np.lexsort((token, -n))]
     rank = np.zeros(size, np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank)
@@ -137,26 +155,28 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays(row, ["part", "block", "tokens", "body"])
 
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = sent.value[np.frombuffer(x, dtype)]
-                if held and held + len(r) > block_tokens:
+            data, offsets = raw(batch.column(1))
+            ranks, at = sent.value[data.view(dtype)], (offsets // dtype.itemsize).tolist()
+            for i, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                if held and held + b - a > block_tokens:
                     yield flush()
-                ids.append(i), counts.append(len(r)), parts.append(r)
-                held += len(r)
+                ids.append(i), counts.append(b - a), parts.append(ranks[a:b])
+                held += b - a
         if held:
             yield flush()
 
-    ordered = raw.repartitionByRange(F.col("id").asc_nulls_first(), F.col("mark")).sortWithinPartitions(F.col("id").asc_nulls_first(), "mark").select("id", "ids")
+    ordered = texts.repartitionByRange(F.col("id").asc_nulls_first(), F.col("mark")).sortWithinPartitions(F.col("id").asc_nulls_first(), "mark").select("id", "ids")
     ordered.mapInArrow(blocks, "part long, block long, tokens long, body binary").write.parquet(f"{folder}/blocks", compression="zstd")
-    spark.createDataFrame([(i, int(t)) for i, t in enumerate(ranked)], "rank long, token long").coalesce(1).write.parquet(f"{folder}/ranks")
-    discard(raw)
+    spark.createDataFrame(pa.table({"rank": pa.array(range(len(ranked)), pa.int64()), "token": pa.array(ranked)})).coalesce(1).write.parquet(f"{folder}/ranks")
+    discard(texts)
+    sent.unpersist()
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
     """Rows (part, block, nth, id, offset, n_tokens, ids): each document's token ids as little-endian uint32, decoded from the files; offset counts the block's tokens before it."""
     ship(spark)
-    ranks = spark.read.parquet(f"{folder}/ranks").toPandas()
-    token = np.zeros(len(ranks), "<u4")
+    ranks = spark.read.parquet(f"{folder}/ranks").toArrow()
+    token = np.zeros(ranks.num_rows, "<u4")
     token[ranks["rank"].to_numpy()] = ranks["token"].to_numpy()
     sent = spark.sparkContext.broadcast(token)
 

@@ -28,22 +28,26 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
 
 
-def groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, offsets) of some texts at a time, in order; offsets start at 0 and have one more entry than there are texts."""
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of strings or binaries; offsets start at 0 and have one more entry than the column. Nulls are empty."""
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    n, at = len(column), column.offset
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, ends, data = column.buffers()
-    if not n:
-        return
-    offsets = np.frombuffer(ends, np.int64 if wide else np.int32, n + 1, at * (8 if wide else 4)).astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-    first = 0
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(ends, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """raw() of some texts at a time, in order."""
+    data, offsets = raw(column)
+    n, first = len(column), 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GROUP, "right")) - 1)
-        last = min(last, n)
-        yield raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 

@@ -1,5 +1,6 @@
 """Training-data operators on small tables with nulls, empty and long texts, ties, repeated rows, and clashing extra columns."""
 
+import functools
 import hashlib
 import json
 import math
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from assay.llm import components, decontaminate, language, licenses, media, mixing, neardup, pseudo_likelihood, secrets, token_files, url_filter
 from assay.llm.common import scratch_path
-from assay.llm.shingles import shingle_set
 from assay.llm.words import hashed_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, `row` string, node long, label string"
@@ -209,6 +209,59 @@ def test_language_model_sums_to_one_and_scores_pieces_alike(monkeypatch):
     assert np.allclose(whole[0], scorer.texts(texts)[0], rtol=1e-4) and (whole[1] == scorer.texts(texts)[1]).all()
 
 
+def test_kneser_ney_against_counting():
+    """Log-probabilities by the definition, in dictionaries."""
+    texts, order = {k: [speech(k, i, 12) for i in range(4)] for k in WORDS}, language.ORDER
+    model = language.train(texts)
+    scorer, size = language.Scorer(model), len(model.alphabet) + 2
+    for j, lang in enumerate(model.langs):
+        padded = [" " * (order - 1) + re.sub(r"[\W\d_]+", " ", f" {t} ".lower())[1:] for t in texts[lang]]
+        top = [t[i : i + order] for t in padded for i in range(len(t) - order + 1)] + [" " * order]
+        counts = {g: top.count(g) for g in set(top)}
+        kinds = {order: set(top)}
+        for n in range(order - 1, 0, -1):
+            kinds[n] = {g[1:] for g in kinds[n + 1]} | {g[:-1] for g in kinds[n + 1]}
+
+        def p(gram, kinds=kinds, counts=counts):
+            n = len(gram)
+            if not n:
+                return 1 / size
+            c = counts if n == order else {}
+            if n < order:
+                for g in kinds[n + 1]:
+                    c[g[1:]] = c.get(g[1:], 0) + 1
+            ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+            d = min(0.95, max(0.1, ones / max(ones + 2 * twos, 1)))
+            own = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+            if not own:
+                return p(gram[1:])
+            total = sum(own.values())
+            return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * p(gram[1:])
+
+        code = {" ": 0, **{chr(x): i + 2 for i, x in enumerate(model.alphabet)}}
+        for gram in [*sorted(counts)[:40], "thex", "xxxx", "   t", "qand", "zzüb"]:
+            got = scorer.each(np.array([code.get(x, 1) for x in gram], np.uint64))[0][j]
+            assert abs(got - math.log(p(gram))) < 1e-3, (lang, gram)
+
+
+def test_language_fit_equals_training_at_hand(spark):
+    texts = {k: [speech(k, i, 20) for i in range(25)] for k in WORDS}
+    rows = [(i, t, k, "s") for k, v in texts.items() for i, t in enumerate(v)] + [(900, texts["en"][0], "en", "s")]
+    model = language.fit(docs(spark, rows))
+    few = {k: [r.text for r in language.sample(docs(spark, rows).select("text", "lang"), {"de": 25, "en": 26}, 1500, 1 << 22).where(f"number = {j}").orderBy("nth").collect()] for j, k in enumerate(("de", "en"))}
+    assert {k: sorted(v) for k, v in few.items()} == {k: sorted(v) for k, v in texts.items()}
+    want = language.train(few)
+    assert model.langs == want.langs and np.allclose(model.mean, want.mean) and np.allclose(model.spread, want.spread)
+    assert all((a == b).all() for a, b in zip(model.grams, want.grams, strict=True)) and all(np.allclose(a, b) for a, b in zip(model.logp, want.logp, strict=True))
+    cut = language.sample(docs(spark, rows).select("text", "lang"), {"en": 26}, 10, 150).collect()
+    assert sum(len(r.text) for r in cut) == 150 and all(r.texts == len(cut) for r in cut)
+    assert language.fit(docs(spark, rows), languages=1).langs == ["en"]
+    odd = language.fit(docs(spark, [(1, "漢字" * 400 + "".join(chr(0x4E00 + i) for i in range(3000)), "zh", "s"), (2, "1 2", "en", "s"), (3, "one two", "en", "s")]))
+    assert len(odd.alphabet) > 2900  # no bound at a byte's 256
+    got = {r.id: r.lang_pred for r in language.identify(docs(spark, [(1, "漢字漢字"), (2, "two one one")]), odd).collect()}
+    assert got == {1: "zh", 2: "en"}
+
+
 def test_language_queries(spark):
     rows = [(i, speech(k, i), k, "s") for i in range(120) for k in [("en", "de")[i % 2]]] + [(200 + i, *r[1:], None, "s") for i, r in enumerate(ODD)] + [(400, "漢字" * 30, None, "s")]
     df = docs(spark, rows)
@@ -361,8 +414,13 @@ def test_licenses_against_plain_search(spark):
 # near duplicates
 
 
+def brute_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
 def brute_groups(rows, k, percent=80):
-    sets = [set(shingle_set(t, k).tolist()) for _, t, *_ in rows]
+    sets = [brute_set(t, k) for _, t, *_ in rows]
     up = list(range(len(rows)))
 
     def root(x):
@@ -381,8 +439,11 @@ def brute_groups(rows, k, percent=80):
     return sorted([(i, len(s), ids.get(root(x)) if s else i) for x, ((i, *_), s) in enumerate(zip(rows, sets, strict=True))], key=str)
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_against_all_pairs(spark, k):
+@pytest.mark.parametrize(("k", "split"), [(2, False), (5, False), (2, True)])
+def test_near_duplicates_against_all_pairs(spark, k, split, monkeypatch):
+    if split:  # blocks of large groups, nothing broadcast, components in the distributed way
+        for name, value in (("BLOCK", 5), ("SET_BYTES", 4000), ("FEW", 0), ("components", functools.partial(components.components, at_once=0))):
+            monkeypatch.setattr(neardup, name, value)
     rng = random.Random(k)
     base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.choice([6, 30, 80]))] for _ in range(6)]
     rows = []
@@ -412,8 +473,7 @@ def test_links_of_small_sets_pass_whatever_their_sketches():
         wide += 1
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), *(pa.array([x], pa.binary()) for x in sketch), pa.array([4])], ["a", "b", "csketch", "sketch", "least"])
         assert [x.num_rows for x in neardup._likely(80)(iter([batch]))] == [1]
-        one = neardup.likely_pairs(np.array([1, 2]), np.array([4, 5]), np.array([1, 2]), np.array([0, 0]), packed, 80)
-        assert [x.tolist() for x in one] == [[[1, 2]]]
+        assert neardup.likely_stars(np.array([1, 2]), np.array([4, 5]), np.array([1, 2]), np.array([1, 3]), packed, 80).tolist() == [[2, 1]]
     assert wide
 
 
@@ -470,6 +530,49 @@ def test_token_files_against_the_library(spark):
     assert token_files.summary(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("units", [2_000_000, 300])
+def test_batch_encoding_against_the_library(units, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from assay.llm import tokenize, words
+
+    monkeypatch.setattr(words, "GROUP", 200)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), tokenize.Tokens(path, units=units)
+    signs = ["a", "Zq", "é", "ü", "ß", "×", "Ж", "ы", "ह", "ि", "漢", "字", "😀", "𝒜", "9", "٣", "'s", "'", ".", ",", "!!", " ", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\u0301", "_", "<|endoftext|>", "<|end", "oftext|>", "x" * 70, "\x00", "\x7f", "ǅ", "ª"]
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(signs if rng.random() < 0.7 else signs[:-10] * 3) for _ in range(rng.choice([0, 1, 2, 3, 30, 300]))) for _ in range(20)]
+        column = pa.array(["cut off", *texts]).slice(1)
+        for end in (None, 2):
+            got, at = [], 0
+            for ids, ends in coder.encode(column, end):
+                for e in ends.tolist():
+                    got.append(ids[at:e].tolist())
+                    at = e
+                at = 0
+            assert got == [[*library.encode(t or "", add_special_tokens=False).ids, *([] if end is None else [end])] for t in texts]
+    assert list(coder.encode(pa.array([], pa.string()))) == []
+
+
+def test_words_of_columns(monkeypatch):
+    from assay.llm import words
+
+    rng, text = random.Random(1), []
+    for _ in range(300):
+        text.append(None if rng.random() < 0.1 else "".join(rng.choice(["a", "B", "é", " ", "\n", "\x0b", "\x1c", "\u00a0", "w" * 70, "zz"]) for _ in range(rng.choice([0, 1, 5, 60]))))
+    known = {}
+    for size in (1, 50, 1 << 15):
+        monkeypatch.setattr(words, "GROUP", size)
+        got = list(words.hashed_texts(pa.array(["x y", *text]).slice(1)))
+        assert len(got) == len(text)
+        for t, h in zip(text, got, strict=True):
+            want = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+            assert len(h) == len(want) and all(known.setdefault(w, x) == x for w, x in zip(want, h.tolist(), strict=True))
+    assert len(set(known.values())) == len(known) > 100
+
+
 # URL filter
 
 
@@ -529,21 +632,47 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs(spark, []).limit(0)).count() == 0
 
 
-def test_blocks_of_a_bucket_meet_all_pairs(spark, monkeypatch):
+def grouped(n, links):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[b] if x == label[a] else x for x in label]
+    return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+
+@pytest.mark.parametrize("kind", ["one block", "two parts", "probes only"])
+def test_blocks_join_what_all_pairs_join(kind):
     rng, signer = np.random.default_rng(7), neardup.Signer()
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
-    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.97], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(50)]
+    base = rng.integers(0, 1 << 63, (3, 60), dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[i % 3][rng.random(60) < 0.97], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for i in range(50)]
     sketch = np.stack([np.frombuffer(signer.sketch(signer.minima(s)), np.uint64) for s in sets])
-    node, n = np.arange(50), np.array([len(s) for s in sets])
-    got = {tuple(p) for x in neardup.likely_pairs(node, n, node, np.zeros(50, int), sketch, 80, rows=7) for p in x.tolist()}
-    similar = {(a, b) for a in range(50) for b in range(a + 1, 50) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    assert similar and similar <= got
-    part = np.arange(50) // 25
-    parts = {tuple(sorted(p)) for x in neardup.likely_pairs(node, n, node, part, sketch, 80) for p in x.tolist()}
-    assert parts == {p for p in got if part[p[0]] != part[p[1]]}
-    # The same through batches that cut buckets.
-    rows = [(k, 0, 0, 0, i, int(n[i]), i, sketch[i].tobytes()) for k in range(3) for i in range(50)]
-    names = ["key", "low", "high", "part", "node", "n", "comp", "sketch"]
-    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
-    out = [tuple(p.values()) for b in neardup._across(80)(iter(table.to_batches(max_chunksize=13))) for p in b.to_pylist()]
-    assert len(out) == 3 * len(got) and set(out) == got
+    node, n, comp = np.arange(50), np.array([len(s) for s in sets]), np.arange(50) // 2 * 2
+    role = {"one block": np.full(50, 3), "two parts": np.where(node < 25, 1, 2), "probes only": np.where(node < 10, 3, 1)}[kind]
+    met = [(a, b) for a in range(50) for b in range(50) if role[a] & 2 and role[b] & 1 and comp[a] != comp[b]]
+    alike = [(a, b) for a, b in met if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    likely = [(a, b) for a, b in met if 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and (min(n[a], n[b]) < neardup.SMALL or neardup.differing(sketch[a], sketch[b]) <= neardup.most_differing(80))]
+    assert alike and set(alike) <= set(likely)
+    edges = neardup.likely_stars(node, n, comp, role, sketch, 80, rows=7)
+    assert len(edges) < 50 and {tuple(e) for e in edges.tolist()} <= set(likely) and grouped(50, edges.tolist()) == grouped(50, likely)
+    links = neardup.exact_links(node, comp, role, sets, 80)
+    inside = [(a, a + 1) for a in range(0, 50, 2)]
+    assert len(links) < 50 and {tuple(e) for e in links.tolist()} <= set(alike) and grouped(50, inside + links.tolist()) == grouped(50, inside + alike)
+    # The same through batches that cut blocks.
+    names = ["key", "low", "high", "role", "node", "comp", "shingles"]
+    table = pa.Table.from_pylist([dict(zip(names, (k, 0, 0, int(role[i]), i, int(comp[i]), sets[i].tobytes()), strict=True)) for k in range(3) for i in range(50)])
+    work = lambda role, node, comp, shingles: neardup.exact_links(node, comp, role, [np.frombuffer(x, np.uint64) for x in shingles], 80)
+    out = [tuple(p.values()) for b in neardup._in_blocks(work, 7)(iter(table.to_batches(max_chunksize=13))) for p in b.to_pylist()]
+    assert out == 3 * [tuple(x) for x in links.tolist()]
+
+
+@pytest.mark.parametrize("at_once", [0, 10])
+def test_distributed_components(spark, at_once):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(0, 90)] + [(200, 200 + i) for i in range(1, 40)] + [(300 + rng.randint(0, 50), 300 + rng.randint(0, 50)) for _ in range(40)]
+    links = [(a, b) for a, b in links if a != b]
+    label = {x: x for e in links for x in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert {r.node: r.comp for r in components.components(frame, at_once=at_once).collect()} == label
+    assert components.components(frame.limit(0), at_once=at_once).count() == 0
