@@ -253,6 +253,173 @@ def test_sqlite_and_files(spark, tmp_path):
     assert files.read_key_values(spark.createDataFrame([("k", "v")], "key string, value string")) == {"k": "v"}
 
 
+def test_release_export(spark, tmp_path):
+    from assay.session import ship
+    from assay.sources import release
+
+    ship(spark)
+    frame = lambda rows, form: spark.createDataFrame(rows, form)
+    tables = {
+        "benchmark_releases": frame([(1, "v1", "/Users/ann/m.json", None), (2, "v2", "x", "y")], "id long, release_label string, manifest_path string, notes string"),
+        "release_questions": frame([(1, 1, 10), (2, 1, 11), (3, 2, 12)], "id long, release_id long, question_id long"),
+        "questions": frame([(10, 5, None, '{"path": "/Users/q/a.pdf"}', None), (11, 5, 7, None, "see /Users/q/b.txt"), (12, 6, 8, None, None)], "id long, domain_id long, category_id long, source_refs string, ground_truth string"),
+        "domains": frame([(5, "a"), (6, "b")], "id long, name string"),
+        "question_categories": frame([(7, "k"), (8, "l")], "id long, name string"),
+        "responses": frame([(100, 1, 50, '{"text_content": "long"}'), (101, 2, 51, None)], "id long, benchmark_release_id long, model_id long, raw_metadata string"),
+        "models": frame([(50, "m"), (51, "n")], "id long, notes string"),
+        "evaluations": frame([(200, 1, 100, 70, "not json /Users/z/q")], "id long, benchmark_release_id long, response_id long, rubric_id long, error_flags string"),
+        "prompt_templates": frame([(1, "t"), (2, None)], "id long, template_text string"),
+        "accounts": frame([(1,)], "id long"),
+    }
+    built = {k: [r.asDict() for r in v.collect()] for k, v in release.build(tables, 1).items()}
+    ids = {k: sorted(r["id"] for r in v) for k, v in built.items()}
+    assert ids == {"benchmark_releases": [1], "release_questions": [1, 2], "questions": [10, 11], "domains": [5], "question_categories": [7], "responses": [100], "models": [50], "evaluations": [200], "prompt_templates": [1, 2]}
+    assert built["benchmark_releases"][0]["manifest_path_redacted"] == "[redacted-local-path:m.json]" and "manifest_path" not in built["benchmark_releases"][0]
+    q = {r["id"]: r for r in built["questions"]}
+    assert json.loads(q[10]["source_refs"])["path"]["basename"] == "a.pdf" and q[11]["ground_truth"] == "see [redacted-local-path:b.txt]" and q[11]["source_refs"] is None
+    assert json.loads(built["responses"][0]["raw_metadata_redacted"])["text_content"]["char_count"] == 4 and built["evaluations"][0]["error_flags"] == "not json [redacted-local-path:q]"
+    told = release.export(tables, "v1", tmp_path / "r.db")
+    with sqlite3.connect(tmp_path / "r.db") as db:
+        held = dict(db.execute("SELECT key, value FROM publication_export_metadata"))
+        assert held["rows_responses"] == "1" and held["release_id"] == "1" and db.execute("SELECT evaluation_id FROM scored_responses").fetchall() == [(200,)]
+        assert db.execute("SELECT count(*) FROM sqlite_master WHERE name = 'accounts'").fetchone() == (0,)
+    assert told["packed_sha256"] == files.file_sha256(told["packed"])
+    with pytest.raises(ValueError, match="0 releases"):
+        release.export(tables, "v9", tmp_path / "s.db")
+
+
+def test_release_layout_has_all_tables():
+    from assay.sources import release
+
+    assert len(release.LAYOUT) == 18 and not release.LAYOUT["prompt_templates"].release and not release.LAYOUT["prompt_templates"].used
+    assert all(t in release.LAYOUT for m in release.LAYOUT.values() for t, _ in m.used)
+
+
+def test_transform_and_conform(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    got = export.transform(df, {"y": F.upper}, {"y": "z"})
+    assert [tuple(r) for r in got.collect()] == [(1, "A"), (2, None)] and got.columns == ["x", "z"]
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("z", StringType()), StructField("x", LongType())])
+    assert export.conform(got, schema).dtypes == [("z", "string"), ("x", "bigint")]
+    with pytest.raises(ValueError, match="missing"):
+        export.conform(df, schema)
+
+
+def test_constants_that_binary_cannot_hold_have_no_correlation(spark):
+    for value, n in ((0.3, 3), (0.1, 7), (0.1, 10), (1e6 + 0.1, 5)):
+        df = spark.createDataFrame([(value, float(i)) for i in range(n)], "x double, y double").repartition(3)
+        got = df.agg(G.pearson(F.col("x"), F.col("y")).alias("r"), R.slope(F.col("x"), F.col("y")).alias("s")).first()
+        assert got.r is None and got.s is None
+
+
+def test_moments_keep_their_digits_beside_large_means(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 300)
+    y, z = 0.5 * x + rng.normal(0, 1, 300), 0.2 * x + rng.normal(0, 1, 300)
+    large = 1e8
+    df = spark.createDataFrame([(i % 40, float(a + large), float(b + large), float(c + large)) for i, (a, b, c) in enumerate(zip(x, y, z, strict=True))], "question_id long, a double, b double, c double").repartition(4)
+    fit = R.simple_fit(df, "a", "b").first()
+    slope, cut = np.polyfit(x, y, 1)
+    left = y - slope * x - cut
+    se = math.sqrt((left @ left) / 298 / ((x - x.mean()) @ (x - x.mean())))
+    assert math.isclose(fit.slope, slope, rel_tol=1e-5) and math.isclose(fit.r, np.corrcoef(x, y)[0, 1], rel_tol=1e-5) and math.isclose(fit.se, se, rel_tol=1e-4)
+    parts = G.icc([F.col(c) for c in "abc"])
+    got = df.agg(*G.columns(parts)).first()
+    m = np.stack([x, y, z], axis=1)
+    rows, cols, grand = m.mean(axis=1), m.mean(axis=0), m.mean()
+    ms_r, ms_c = 3 * ((rows - grand) ** 2).sum() / 299, 300 * ((cols - grand) ** 2).sum() / 2
+    ms_e = ((m - rows[:, None] - cols[None, :] + grand) ** 2).sum() / (299 * 2)
+    assert math.isclose(got.icc_1, (ms_r - ms_e) / (ms_r + 2 * ms_e + 3 * (ms_c - ms_e) / 300), rel_tol=1e-4) and math.isclose(got.icc_k, (ms_r - ms_e) / (ms_r + (ms_c - ms_e) / 300), rel_tol=1e-4)
+    plan = spark.createDataFrame([(0, i, 1) for i in range(40)], "rep int, question_id long, mult long")  # every question once
+    rep = B.replicate_icc(plan, df, "a", "b").first()
+    two = G.icc([F.col("a"), F.col("b")])
+    want = df.agg(*G.columns(two), G.pearson(F.col("a"), F.col("b")).alias("pearson")).first()
+    assert all(math.isclose(rep[k], want[k], rel_tol=1e-4) for k in ("icc_1", "icc_k", "pearson"))
+
+
+def test_replicate_rates_against_drawn_rows(spark):
+    rng = random.Random(2)
+    rows = [(q, rng.choice([-1.5, -0.5, 0.0, 0.0, 0.25, 1.0])) for q in range(12) for _ in range(5)]
+    plan = [(rep, q, n) for rep in range(4) for q, n in enumerate(np.bincount([rng.randrange(12) for _ in range(12)], minlength=12).tolist()) if n]
+    df = spark.createDataFrame(rows, "question_id long, d double")
+    got = {r.rep: r for r in B.replicate_rates(spark.createDataFrame(plan, "rep int, question_id long, mult long"), df, "d").collect()}
+    for rep in range(4):
+        d = np.array([x for _, q, n in (p for p in plan if p[0] == rep) for k, x in rows if k == q for _ in range(n)])
+        want = {"mean_diff": d.mean(), "mean_abs_diff": abs(d).mean(), "sd_diff": d.std(ddof=1), "normal_low": d.mean() - 1.96 * d.std(ddof=1), "exact": (d == 0).mean(), "within_25": (abs(d) <= 0.25).mean(), "within_50": (abs(d) <= 0.5).mean(), "within_100": (abs(d) <= 1).mean()}
+        assert all(math.isclose(got[rep][k], v, abs_tol=1e-9) for k, v in want.items())
+
+
+def test_null_values_have_no_midrank_and_null_p_no_rank(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", None), ("a", 1.0), (None, 5.0), (None, 5.0)], "k string, x double")
+    assert sorted(map(tuple, A.midranks(df, "x", by=["k"]).collect()), key=str) == sorted([("a", 2.0, 2.0), ("a", None, None), ("a", 1.0, 1.0), (None, 5.0, 1.5), (None, 5.0, 1.5)], key=str)
+    p = [0.001, 0.04, 0.04, None, 1.0, 0.0, 0.5]
+    adj = {r.k: r for r in H.bh_adjust(spark.createDataFrame([(str(i), x) for i, x in enumerate(p)], "k string, p double"), "p", "k").collect()}
+    assert (adj["3"].bh_rank, adj["3"].adjusted) == (None, None) and [adj[k].bh_rank for k in "5012"] == [1, 2, 3, 4]
+    order = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    for k, (_, i) in enumerate(order):
+        assert math.isclose(adj[str(i)].adjusted, min([1.0, *(q * 6 / (j + 1) for j, (q, _) in enumerate(order) if j >= k)]))
+
+
+def test_lanes_that_scored_twice_fail_the_query(spark):
+    twice = evaluations(spark).unionAll(evaluations(spark))
+    assert P.pair_lanes(evaluations(spark), ["response_id"], LANES).count() == P.pair_lanes(twice, ["response_id"], LANES, guard=False).count() > 0
+    with pytest.raises(Exception, match="scored more than once"):
+        P.pair_lanes(twice, ["response_id"], LANES).collect()
+
+
+def test_rows_bootstrap_of_several_keys(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([("m" + str(i % 2), i % 3, float(x)) for i, x in enumerate(rng.normal(3, 1, 90))] + [("few", 0, 1.0), ("few", 0, 2.0)], "model string, domain_id long, x double")
+    ci = {(r.model, r.domain_id): r for r in B.interval(B.row_means(df, ["model", "domain_id"], "x", 1000, 3, least=3), ["model", "domain_id"], "mean").collect()}
+    assert len(ci) == 6 and ("few", 0) not in ci
+    for (m, d), r in ci.items():
+        own = np.array([x.x for x in df.where((F.col("model") == m) & (F.col("domain_id") == d)).collect()])
+        half = 1.96 * own.std() / math.sqrt(len(own))
+        assert abs(r.ci_mid - own.mean()) < 0.2 * half and abs((r.ci_high - r.ci_low) / 2 - half) < 0.2 * half
+
+
+def test_sentinel_and_utf8(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", None), ("c", 2000.0), ("d", 5.0)], "n string, x double")
+    assert [r.n for r in A.sentinel_rank(df, "x", "n", 999.0).orderBy("place").collect()] == ["a", "d", "b", "c"]
+    raw = spark.createDataFrame([(bytearray(b"ok \xff\xc3\xa9"),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(T.clean_utf8(F.col("b"))).collect()] == ["ok \ufffdé", None]
+
+
+def test_regression_with_an_effect_that_has_nulls(spark):
+    rows, names = R.design(spark.createDataFrame([(1.0, "a", 2.0), (2.0, "b", 3.0), (3.0, None, 9.0), (4.0, None, 10.0), (5.0, "a", 6.0)], "w double, e string, y double"), {"w": F.col("w")}, ["e"])
+    assert names == ["intercept", "w", "e=b", "e=None"]
+    fit = R.solve(R.gramian(rows, 4, "y"), names)
+    assert np.allclose(fit.beta, [1, 1, 0, 5], atol=1e-6)
+
+
+def test_redaction_by_rules():
+    value = {"a": ["/Users/x/y.txt and more", {"Quote": ["q", {"path": "noslash"}], "n": 1}], "source_path": [["/a/b/"], 3], "long": "z" * 1201}
+    loose, strict = T.sanitize(value, False), T.sanitize(value, True)
+    assert loose["a"][0] == "[redacted-local-path:y.txt] and more" and loose["a"][1]["Quote"][0] == "q" and loose["long"] == "z" * 1201
+    assert strict["a"][1]["Quote"][0]["char_count"] == 1 and strict["a"][1]["Quote"][1]["path"]["basename"] is None and strict["long"]["char_count"] == 1201
+    assert loose["source_path"][0][0]["basename"] == "b" and loose["source_path"][1] == 3 and set(strict["long"]) == {"redacted", "reason", "char_count", "sha256"}
+    assert T.sanitize("/Users/a/b", True) == "[redacted-local-path:b]" and T.sanitize(None, True) is None and T.sanitize([], True) == []
+
+
+def test_command_line_report(spark, tmp_path, capsys):
+    from assay import cli
+    from assay import queries as Q
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    s = cli.settings(["report", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "r"), "--reps", "20", "--seed", "3", "--min-paired-rows", "100"])
+    assert (s.reps, s.seed, s.min_paired_rows, s.scope) == (20, 3, 100, "two-lane")
+    bundle = cli.report(spark, s)
+    board = bundle["leaderboard"]
+    assert board and list(board[0]) == Q.LEADERBOARD and len(Q.LEADERBOARD) == 20 and all(r["paired_rows"] >= 100 for r in board)
+    assert bundle["coverage"]["is_partial_overlap"] and cli.summary(bundle)[0].startswith("warning") and len(cli.summary(bundle)) <= 11
+    assert {r["measure"] for r in bundle["reliability_ci"]} == set(Q.RELIABILITY) and bundle["metadata"]["reps"] == 20
+    head = (tmp_path / "r" / "leaderboard.csv").read_text().splitlines()[0]
+    assert head == ",".join(Q.LEADERBOARD) and (tmp_path / "r" / "report.md").read_text().count("## ") >= 8 and list((tmp_path / "r" / "paired_rows").glob("*.csv"))
+
+
 def test_plans_have_no_cross_product(spark):
     import os
 
