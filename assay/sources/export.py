@@ -18,10 +18,16 @@ def closure(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]
 
 
 def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by, fingerprint, n): a SHA-256 over the sorted SHA-256s of rows, so row order does not matter and every value does."""
+    """(by, fingerprint, n): row order does not matter and every value does.
+
+    Rows' SHA-256s and how often each occurs are sorted in 4096 ranges of their first three digits, and hashed range by range;
+    the fingerprint is the SHA-256 of these hashes in order. So no task holds all rows, and repeated rows are one."""
     row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    hashed = df.select(*(by or []), row.alias("h"))
-    return hashed.groupBy(*(by or [])).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("fingerprint"), F.count("*").alias("n"))
+    keys = by or []
+    counted = df.select(*keys, row.alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("n"))
+    ranges = counted.groupBy(*keys, F.substring("h", 1, 3).alias("r")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "h", "n"))), ""), 256).alias("d"), F.sum("n").alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "d"))), lambda x: x["d"]), "")
+    return ranges.groupBy(*keys).agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 def transform(df: DataFrame, changes: dict[str, Callable[[Column], Column]], renamed: dict[str, str] | None = None) -> DataFrame:
