@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +76,17 @@ def rank_systems(df: DataFrame, score: str, name: str = "rank", system: str = "m
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.desc(score), F.asc(system))))
 
 
+def sentinel_rank(df: DataFrame, value: str, name: str, sentinel: float, out: str = "place") -> DataFrame:
+    """1, 2, ... by rising value, a null standing where the sentinel would, ties by name; over one row a system."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(F.coalesce(F.col(value), F.lit(sentinel)), name)).cast("long"))
+
+
 def midranks(df: DataFrame, value: str, name: str = "midrank", by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1 by rising value, ties sharing their mean. Counts by distinct value come first, so the window sees a row a value."""
-    keys = by or []
-    held = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.withColumn(name, below + (F.col("_n") + 1) / 2).drop("_n")
-    return df.join(held, [*keys, value])
+    """Ranks from 1 by rising value, ties sharing their mean; a null value has no rank and counts for none. Counts by distinct
+    value come first, so the window sees a row a value."""
+    keys = [f"_k{i}" for i in range(len(by or []))]
+    held = df.where(F.col(value).isNotNull()).groupBy(*(F.col(b).alias(k) for b, k in zip(by or [], keys, strict=True)), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*keys, "_v", (below + (F.col("_n") + 1) / 2).alias(name))
+    same = reduce(lambda a, b: a & b, (df[b].eqNullSafe(held[k]) for b, k in zip(by or [], keys, strict=True)), df[value] == held["_v"])
+    return df.join(held, same, "left").drop(*keys, "_v")

@@ -1,4 +1,4 @@
-"""Agreement of lanes: correlations, intraclass correlation, Bland-Altman limits and tolerance rates, from moment sums."""
+"""Agreement of lanes: correlations, intraclass correlation, Bland-Altman limits and tolerance rates, from centred moments."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from assay.operators.aggregates import midranks
 
 def pearson(x: Column, y: Column) -> Column:
     """Null for fewer than two rows or a constant column, where the built-in corr would fail. Both null-free."""
-    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-    cov = n * F.sum(x * y) - sx * sy
-    vx, vy = n * F.sum(x * x) - sx * sx, n * F.sum(y * y) - sy * sy
-    return F.when((n > 1) & (vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy))))
+    return F.when(varies(x) & varies(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
+def varies(x: Column) -> Column:
+    """Are there two values that differ?"""
+    return F.coalesce(F.min(x) < F.max(x), F.lit(False))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -28,14 +30,12 @@ def icc(raters: list[Column]) -> dict[str, Column]:
     """Two-way, absolute agreement: mean squares, and the coefficients of one rater (icc_1) and of the mean of k (icc_k).
 
     Null for fewer than two rows, or where the denominator is 0."""
-    k = len(raters)
-    row = reduce(lambda a, b: a + b, raters)
-    n, total = F.count(raters[0]), F.sum(row)
-    squares = reduce(lambda a, b: a + b, (F.sum(r * r) for r in raters))
-    fix = total * total / F.nullif(n * k, F.lit(0))
-    ss_r = F.sum(row * row) / k - fix
-    ss_c = reduce(lambda a, b: a + b, (F.sum(r) * F.sum(r) for r in raters)) / F.nullif(n, F.lit(0)) - fix
-    ss_e = squares - fix - ss_r - ss_c
+    k, plus = len(raters), lambda xs: reduce(lambda a, b: a + b, xs)
+    n, means = F.count(raters[0]), [F.avg(r) for r in raters]
+    grand = plus(means) / k
+    ss_r = n * k * F.var_pop(plus(raters) / k)
+    ss_c = n * plus((m - grand) * (m - grand) for m in means)
+    ss_e = n * plus(F.var_pop(r) for r in raters) - ss_r
     df_r = F.nullif(n - 1, F.lit(0))
     ms_r, ms_c, ms_e = ss_r / df_r, ss_c / (k - 1), ss_e / (df_r * (k - 1))
     one = F.try_divide(ms_r - ms_e, ms_r + (k - 1) * ms_e + k * (ms_c - ms_e) / F.nullif(n, F.lit(0)))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob
-from assay.operators.aggregates import midranks
+
+
+RANGES = 1024  # of p values
 
 
 def common_pairs(question_means: DataFrame, system: str = "model", value: str = "mean_score") -> DataFrame:
@@ -21,12 +23,15 @@ def common_pairs(question_means: DataFrame, system: str = "model", value: str =
 
 def signed_rank(pairs: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b")) -> DataFrame:
     """(keys, n_common, n_used, w_plus, w_minus, tie_term, statistic): zero differences are left out, ties share ranks."""
-    d = pairs.withColumn("d", F.col("a") - F.col("b"))
-    size = d.groupBy(*keys).agg(F.count("*").alias("n_common"))
-    used = midranks(d.where("d != 0").withColumn("size", F.abs("d")), "size", "r", list(keys))
-    ties = used.groupBy(*keys, "size").agg(F.count("*").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie_term"))
-    sums = used.groupBy(*keys).agg(F.count("*").alias("n_used"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    out = size.join(sums, list(keys), "left").join(ties, list(keys), "left").na.fill(0, ["n_used"]).na.fill(0.0, ["w_plus", "w_minus", "tie_term"])
+    # Pairs are counted by size first, up and down apart; a window over these counts gives each size its midrank, and one aggregate the rest.
+    d = F.col("a") - F.col("b")
+    held = pairs.select(*keys, F.abs(d).alias("size"), F.signum(d).alias("sign")).groupBy(*keys, "size").agg(F.count("*").alias("t"), F.count_if(F.col("sign") > 0).alias("up"), F.count_if(F.col("sign") < 0).alias("down"))
+    used = F.when(F.col("size") > 0, F.col("t")).otherwise(0)
+    below = F.coalesce(F.sum(used).over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = held.withColumn("used", used).withColumn("r", below + (F.col("t") + 1) / 2)
+    other = F.col("size") > 0
+    ties = F.when(other, F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")).otherwise(0.0)
+    out = ranked.groupBy(*keys).agg(F.sum("t").alias("n_common"), F.sum("used").alias("n_used"), F.sum(F.when(other, F.col("r") * F.col("up")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(other, F.col("r") * F.col("down")).otherwise(0.0)).alias("w_minus"), F.sum(ties).alias("tie_term"))
     return out.withColumn("statistic", F.least("w_plus", "w_minus"))
 
 
@@ -60,10 +65,18 @@ def effect_label(x: Column) -> Column:
 def bh_adjust(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
     """Adds bh_rank, adjusted (step-up, monotone, at most 1), significant, and threshold_flag (p against its own rank's bound, no step-up).
 
-    The table has a row a test; it is sorted as a whole."""
-    up = Window.orderBy(F.asc(p), F.asc(key))
-    n = df.agg(F.count(p).alias("_m"))
-    ranked = df.withColumn("bh_rank", F.row_number().over(up)).crossJoin(n)  # one row
-    raw = F.col(p) * F.col("_m") / F.col("bh_rank")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(Window.orderBy(F.desc("bh_rank")).rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.withColumn("adjusted", adjusted).withColumn("significant", F.col("adjusted") < alpha).withColumn("threshold_flag", F.col(p) <= F.col("bh_rank") / F.col("_m") * alpha).drop("_m")
+    Tests are sorted in RANGES ranges of p, so only the ranges' counts and minima meet in one task. A null p is no test: its
+    row stays, with nulls."""
+    ranged = df.withColumn("_range", F.when(F.col(p).isNotNull(), F.least(F.floor(F.col(p) * RANGES), F.lit(RANGES - 1))))
+    own, every = Window.partitionBy("_range"), Window.orderBy("_range")
+    counts = ranged.where(F.col(p).isNotNull()).groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_range").alias("_r"), before.alias("_before"), F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
+    ranked = ranged.join(counts, F.col("_range") == F.col("_r"), "left").withColumn("bh_rank", (F.col("_before") + F.row_number().over(own.orderBy(F.asc(p), F.asc(key)))).cast("int"))
+    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("bh_rank"))
+    least = ranked.where(F.col(p).isNotNull()).groupBy("_range").agg(F.min("_raw").alias("_l"))
+    least = least.select(F.col("_range").alias("_s"), F.min("_l").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    ranked = ranked.join(least, F.col("_range") == F.col("_s"), "left")
+    inside = F.min("_raw").over(own.orderBy(F.desc("bh_rank")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), inside, F.coalesce("_later", F.lit(1.0)))))
+    return ranked.withColumn("significant", F.col("adjusted") < alpha).withColumn("threshold_flag", F.col(p) <= F.col("bh_rank") / F.col("_m") * alpha).select(*df.columns, "bh_rank", "adjusted", "significant", "threshold_flag")

@@ -44,10 +44,11 @@ def duplicates(evals: DataFrame, keys: list[str], lanes: dict[str, tuple[str, st
     return evals.withColumn("lane", name).where("lane IS NOT NULL").groupBy(*keys, "lane").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def pair_lanes(evals: DataFrame, keys: list[str], lanes: dict[str, tuple[str, str]], score_col: str = "score", guard: bool = False) -> DataFrame:
+def pair_lanes(evals: DataFrame, keys: list[str], lanes: dict[str, tuple[str, str]], score_col: str = "score", guard: bool | None = None) -> DataFrame:
     """One row for each key that all lanes scored, a column a lane: one scan and one shuffle, not a self-join a lane.
 
-    With guard, DuplicateRows is raised if a lane scored a key twice; without, the highest score stands."""
+    No lane may score a key twice: the query fails on the first such key it meets. With guard=True DuplicateRows is raised
+    before anything is paired, which takes a scan of its own; with guard=False the highest score stands."""
     if guard:
         bad = duplicates(evals, keys, lanes).limit(5).collect()
         if bad:
@@ -55,8 +56,18 @@ def pair_lanes(evals: DataFrame, keys: list[str], lanes: dict[str, tuple[str, st
     any_lane = None
     for spec in lanes.values():
         any_lane = lane(*spec) if any_lane is None else any_lane | lane(*spec)
-    wide = evals.where(any_lane).groupBy(*keys).agg(*(F.max(F.when(lane(*spec), F.col(score_col))).alias(n) for n, spec in lanes.items()))
-    return wide.dropna(subset=list(lanes))
+    score = lambda spec: F.when(lane(*spec), F.col(score_col))
+    wide = evals.where(any_lane).groupBy(*keys).agg(*(F.max(score(s)).alias(n) for n, s in lanes.items()), *(F.count(score(s)).alias(f"_n_{n}") for n, s in lanes.items()))
+    if guard is None:
+        told = lambda n: F.raise_error(F.concat(F.lit(f"{n} scored more than once: "), F.to_json(F.struct(*keys)))).cast("double")
+        wide = wide.withColumns({n: F.when(F.col(f"_n_{n}") > 1, told(n)).otherwise(F.col(n)) for n in lanes})
+    return wide.select(*keys, *lanes).dropna(subset=list(lanes))
+
+
+def eligible(rows: DataFrame, least: int, system: str = "model") -> DataFrame:
+    """The rows of systems that have at least ``least`` of them."""
+    few = rows.groupBy(system).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(system)
+    return rows.join(few, system, "left_semi") if least > 1 else rows
 
 
 def coverage(rows: DataFrame, paired: Column, by: list[str] | None = None) -> DataFrame:

@@ -10,34 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import prob
+from assay.operators.agreement import pearson, varies
 
 
 def slope(x: Column, y: Column) -> Column:
     """Null for constant x."""
-    n = F.count(x)
-    return F.try_divide(n * F.sum(x * y) - F.sum(x) * F.sum(y), n * F.sum(x * x) - F.sum(x) * F.sum(x))
+    return F.when(varies(x), F.try_divide(F.covar_pop(x, y), F.var_pop(x)))
 
 
 def simple_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """(by, n, mean_x, mean_y, slope, intercept, r2)."""
+    """(by, n, mean_x, mean_y, slope, intercept, r, r2, se): se is the slope's standard error, null for fewer than three rows."""
     a, b = F.col(x), F.col(y)
-    n = F.count(a)
-    vx, vy, cov = n * F.sum(a * a) - F.sum(a) * F.sum(a), n * F.sum(b * b) - F.sum(b) * F.sum(b), n * F.sum(a * b) - F.sum(a) * F.sum(b)
-    out = df.groupBy(*(by or [])).agg(n.alias("n"), F.avg(a).alias("mean_x"), F.avg(b).alias("mean_y"), F.try_divide(cov, vx).alias("slope"), F.try_divide(cov * cov, vx * vy).alias("r2"))
-    return out.withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+    n, r = F.count(a), pearson(a, b)
+    out = df.groupBy(*(by or [])).agg(n.alias("n"), F.avg(a).alias("mean_x"), F.avg(b).alias("mean_y"), slope(a, b).alias("slope"), r.alias("r"), (r * r).alias("r2"), F.var_pop(a).alias("_vx"), F.var_pop(b).alias("_vy"))
+    left = F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("_vy"))
+    se = F.when(F.col("n") > 2, F.sqrt(F.try_divide(left, (F.col("n") - 2) * F.col("_vx"))))
+    return out.withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x")).withColumn("se", se).drop("_vx", "_vy")
 
 
 def design(df: DataFrame, numeric: dict[str, Column], effects: list[str]) -> tuple[DataFrame, list[str]]:
     """df with columns x_0 (1), x_1 ... : numbers, then 0/1 columns of each effect's values but the first in order. Returns their names too.
 
-    An effect has few values (domains, levels, regimes); they are listed on the driver."""
+    An effect has few values (domains, levels, regimes), null among them as the last; one aggregate lists them all for the driver."""
     parts, names = [F.lit(1.0)], ["intercept"]
     for k, c in numeric.items():
         parts.append(c.cast("double")), names.append(k)
-    for e in effects:
-        values = sorted(r[0] for r in df.select(e).distinct().collect())
-        for v in values[1:]:
-            parts.append((F.col(e) == v).cast("double")), names.append(f"{e}={v}")
+    found = df.agg(*(F.collect_set(e).alias(f"v{i}") for i, e in enumerate(effects)), *(F.max(F.col(e).isNull()).alias(f"n{i}") for i, e in enumerate(effects))).first() if effects else None
+    for i, e in enumerate(effects):
+        for v in [*sorted(found[f"v{i}"]), *([None] if found[f"n{i}"] else [])][1:]:
+            parts.append(F.col(e).eqNullSafe(F.lit(v)).cast("double")), names.append(f"{e}={v}")
     return df.withColumns({f"x_{i}": c for i, c in enumerate(parts)}), names
 
 

@@ -63,21 +63,24 @@ def replicate_means(plan: DataFrame, stats: DataFrame, by: list[str], value: str
     return joined.groupBy("rep", *by).agg((F.sum(F.col("mult") * F.col(value)) / F.sum(F.col("mult") * F.col("n"))).alias("mean"))
 
 
-def row_means(rows: DataFrame, by: str, value: str, reps: int, seed: int) -> DataFrame:
+def row_means(rows: DataFrame, by: str | list[str], value: str, reps: int, seed: int, least: int = 1) -> DataFrame:
     """(rep, by, mean) of replicates that draw rows themselves, as many as a group has, with replacement.
 
     A mean depends only on how often each distinct value is drawn, and these counts are multinomial: no row is copied.
-    Groups are whole numbers; each has a generator of its own. Null values are no rows."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).cast("long").alias(by), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    Each group has a generator of its own, seeded by a hash of its keys. Null values are no rows; groups of fewer than ``least`` rows are left out."""
+    keys = [by] if isinstance(by, str) else list(by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("_seed", F.xxhash64(*(F.col(k).cast("string") for k in keys)))
 
     def draw(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("value")
-        x, n, group = own["value"].to_numpy(), own["n"].to_numpy(), int(own[by].iloc[0])
-        rng = np.random.default_rng([seed, group & (1 << 64) - 1])
-        means = [rng.multinomial(n.sum(), n / n.sum()) @ x / n.sum() for _ in range(reps)]
-        return pd.DataFrame({"rep": np.arange(reps), by: group, "mean": means})
+        x, n = own["value"].to_numpy(), own["n"].to_numpy()
+        reps_here = reps if n.sum() >= least else 0
+        rng = np.random.default_rng([seed, int(own["_seed"].iloc[0]) & (1 << 64) - 1])
+        means = [rng.multinomial(n.sum(), n / n.sum()) @ x / n.sum() for _ in range(reps_here)]
+        return pd.DataFrame({"rep": np.arange(reps_here), **{k: pd.Series([own[k].iloc[0]] * reps_here, dtype=own[k].dtype if own[k].dtype.kind in "if" else object) for k in keys}, "mean": means})
 
-    return counts.groupBy(by).applyInPandas(draw, f"rep int, {by} long, mean double")
+    types = {f.name: f.dataType.simpleString() for f in counts.schema}
+    return counts.groupBy(*keys).applyInPandas(draw, "rep int, " + ", ".join(f"`{k}` {types[k]}" for k in keys) + ", mean double")
 
 
 def interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -94,10 +97,16 @@ def rank_bands(means: DataFrame, system: str = "model", value: str = "mean") ->
     return ranked.groupBy(system).agg(F.percentile(r, F.lit(0.5)).alias("median_rank"), F.percentile(r, F.lit(0.025)).alias("rank_low"), F.percentile(r, F.lit(0.975)).alias("rank_high"), share(1).alias("top_1"), share(3).alias("top_3"))
 
 
+def centred(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with both lanes less the mean of all scores, so that sums of squares keep their digits."""
+    middle = rows.agg(((F.avg(a) + F.avg(b)) / 2).alias("_middle"))  # one row
+    return rows.crossJoin(F.broadcast(middle)).withColumns({a: F.col(a) - F.col("_middle"), b: F.col(b) - F.col("_middle")})
+
+
 def replicate_icc(plan: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
     """(rep, n, icc_1, icc_k, pearson): agreement of two lanes in each replicate, from six sums a question."""
     x, y = F.col(a), F.col(b)
-    stats = sums(rows, [], sa=x, sb=y, saa=x * x, sbb=y * y, sab=x * y)
+    stats = sums(centred(rows, a, b), [], sa=x, sb=y, saa=x * x, sbb=y * y, sab=x * y)
     m = F.col("mult")
     t = plan.join(stats, "question_id").groupBy("rep").agg(*(F.sum(m * F.col(c)).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
     n, total = F.col("n"), F.col("sa") + F.col("sb")
@@ -119,10 +128,26 @@ def replicate_spearman(plan: DataFrame, rows: DataFrame, a: str, b: str) -> Data
         one = held.groupBy("rep", x).agg(F.sum("w").alias("t"))
         below = F.coalesce(F.sum("t").over(Window.partitionBy("rep").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         held = held.join(one.select("rep", x, (below + (F.col("t") + 1) / 2).alias(r)), ["rep", x])
-    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    vx, vy = n * F.sum(w * x * x) - sx * sx, n * F.sum(w * y * y) - sy * sy
-    return held.groupBy("rep").agg(F.when((vx > 0) & (vy > 0), F.try_divide(n * F.sum(w * x * y) - sx * sy, F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy)))).alias("spearman"))
+    # Ranks have the mean (n + 1) / 2, ties or not.
+    held = held.join(held.groupBy("rep").agg(((F.sum("w") + 1) / 2).alias("middle")), "rep")
+    w, x, y = F.col("w"), F.col("rx") - F.col("middle"), F.col("ry") - F.col("middle")
+    vx, vy = F.sum(w * x * x), F.sum(w * y * y)
+    return held.groupBy("rep").agg(F.when((vx > 0) & (vy > 0), F.try_divide(F.sum(w * x * y), F.sqrt(vx) * F.sqrt(vy))).alias("spearman"))
+
+
+def replicate_rates(plan: DataFrame, rows: DataFrame, diff: str, exact_below: float = 1e-9) -> DataFrame:
+    """(rep, mean_diff, mean_abs_diff, sd_diff, normal_low, normal_high, exact, within_25, within_50, within_100) from sums a question."""
+    middle = rows.agg(F.avg(diff).alias("_middle"))  # one row: squares keep their digits around it
+    d, size = F.col("_d"), F.abs(F.col(diff))
+    own = rows.crossJoin(F.broadcast(middle)).withColumn("_d", F.col(diff) - F.col("_middle"))
+    hit = lambda c: F.when(c, 1).otherwise(0)
+    stats = sums(own, [], s=d, ss=d * d, sabs=size, exact=hit(size < exact_below), within_25=hit(size <= 0.25), within_50=hit(size <= 0.5), within_100=hit(size <= 1.0))
+    m = F.col("mult")
+    t = plan.join(stats, "question_id").groupBy("rep").agg(*(F.sum(m * F.col(c)).alias(c) for c in ("n", "s", "ss", "sabs", "exact", "within_25", "within_50", "within_100")))
+    t = t.crossJoin(F.broadcast(middle)).withColumn("mean_diff", F.col("s") / F.col("n") + F.col("_middle"))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1))))
+    t = t.withColumn("sd_diff", sd).withColumns({"normal_low": F.col("mean_diff") - 1.96 * F.col("sd_diff"), "normal_high": F.col("mean_diff") + 1.96 * F.col("sd_diff")})
+    return t.select("rep", "mean_diff", (F.col("sabs") / F.col("n")).alias("mean_abs_diff"), "sd_diff", "normal_low", "normal_high", *((F.col(c) / F.col("n")).alias(c) for c in ("exact", "within_25", "within_50", "within_100")))
 
 
 def replicate_limits(plan: DataFrame, rows: DataFrame, diff: str) -> DataFrame:

@@ -20,8 +20,8 @@ from assay.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-REPS, SEED = 50, 7
-ROW_REPS = 1000
+#: Replicates that are published; every bootstrap query takes them.
+REPS, SEED = 1000, 7
 
 
 def query(name: str, sql: str | None = None):
@@ -147,15 +147,15 @@ def _(spark, d):
     return rows.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.max("s_acctbal").alias("best"))
 
 
-KEYS = ["model", "question_id", "run_number"]
+KEYS = ["model", "question_id", "answer_id"]
 
 
-@query("pair_lanes_2", with_cte(S.EVALS_SQL, "SELECT a.model, a.question_id, a.run_number, a.score AS score_a, b.score AS score_b FROM evals a JOIN evals b USING (model, question_id, run_number) WHERE a.judge_model = 'judge-a' AND a.version ILIKE 'v2.%primary' AND b.judge_model = 'judge-b' AND b.version ILIKE 'v2.%comparison'"))
+@query("pair_lanes_2", with_cte(S.EVALS_SQL, "SELECT a.model, a.question_id, a.answer_id, a.score AS score_a, b.score AS score_b FROM evals a JOIN evals b USING (model, question_id, answer_id) WHERE a.judge_model = 'judge-a' AND a.version ILIKE 'v2.%primary' AND b.judge_model = 'judge-b' AND b.version ILIKE 'v2.%comparison'"))
 def _(spark, d):
     return P.pair_lanes(S.evaluations(spark, d), KEYS, {k: S.LANES[k] for k in ("score_a", "score_b")})
 
 
-@query("pair_lanes_3", with_cte(S.EVALS_SQL, "SELECT a.model, a.question_id, a.run_number, a.score AS score_a, b.score AS score_b, c.score AS score_c FROM evals a JOIN evals b USING (model, question_id, run_number) JOIN evals c USING (model, question_id, run_number) WHERE a.judge_model = 'judge-a' AND a.version ILIKE 'v2.%primary' AND b.judge_model = 'judge-b' AND c.judge_model = 'judge-c'"))
+@query("pair_lanes_3", with_cte(S.EVALS_SQL, "SELECT a.model, a.question_id, a.answer_id, a.score AS score_a, b.score AS score_b, c.score AS score_c FROM evals a JOIN evals b USING (model, question_id, answer_id) JOIN evals c USING (model, question_id, answer_id) WHERE a.judge_model = 'judge-a' AND a.version ILIKE 'v2.%primary' AND b.judge_model = 'judge-b' AND c.judge_model = 'judge-c'"))
 def _(spark, d):
     return P.pair_lanes(S.evaluations(spark, d), KEYS, S.LANES)
 
@@ -316,7 +316,7 @@ def _(spark, d):
     return S.star(spark, d, "model", "question_id", "unpaired").agg(F.count("*").alias("responses"), F.count_if(u).alias("unpaired"), F.count_distinct("question_id").alias("questions"), F.count_distinct(F.when(u, F.col("question_id"))).alias("unpaired_questions"), F.count_distinct("model").alias("models"))
 
 
-@query("unpaired_lane_coverage", with_cte(S.EVALS_SQL, "SELECT e.judge_model, e.version, count(*) AS n, count(DISTINCT e.question_id) AS questions FROM evals e ANTI JOIN (SELECT * FROM evals WHERE judge_model = 'judge-b') b USING (model, question_id, run_number) GROUP BY ALL"))
+@query("unpaired_lane_coverage", with_cte(S.EVALS_SQL, "SELECT e.judge_model, e.version, count(*) AS n, count(DISTINCT e.question_id) AS questions FROM evals e ANTI JOIN (SELECT * FROM evals WHERE judge_model = 'judge-b') b USING (model, question_id, answer_id) GROUP BY ALL"))
 def _(spark, d):
     e = S.evaluations(spark, d)
     return e.join(e.where("judge_model = 'judge-b'").select(*KEYS), KEYS, "left_anti").groupBy("judge_model", "version").agg(F.count("*").alias("n"), F.count_distinct("question_id").alias("questions"))
@@ -457,13 +457,18 @@ def _(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-LOCAL_SQL = "'see /Users/ann/' || doc_id || '/notes_' || source || '.md, then \"/Users/bob/x/\" and /Users/c' || ' ' || substr(text, 1, 40)"
+LOCAL_SQL = "'see /Users/ann/' || doc_id || '/notes_' || source || '.md, then \"/Users/bob/x/\" and /Users/c' || ' ' || text"
 
 
 @query("redact_paths", rf"""SELECT doc_id, regexp_replace({LOCAL_SQL}, '/Users/(?:[^\s"'',;)/]*/+)*([^\s"'',;)/]+)/*', '[redacted-local-path:\1]', 'g') AS clean FROM documents""")
 def _(spark, d):
-    made = F.expr(LOCAL_SQL.removesuffix(" || ' ' || substr(text, 1, 40)").replace('"', '\\"'))
-    return S.table(spark, d, "documents").select("doc_id", T.redact_paths(F.concat(made, F.lit(" "), "text")).alias("clean"))
+    return S.table(spark, d, "documents").select("doc_id", T.redact_paths(F.expr(LOCAL_SQL.replace('"', '\\"'))).alias("clean"))
+
+
+@query("clean_utf8", "SELECT doc_id, text || '�' AS clean FROM documents")
+def _(spark, d):
+    """Every text with a byte at its end that is no character."""
+    return S.table(spark, d, "documents").select("doc_id", T.clean_utf8(F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))).alias("clean"))
 
 
 @query("json_field", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events")
@@ -477,7 +482,7 @@ def _(spark, d):
     return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("settings"))
 
 
-@query("scan_json")
+@query("scan_json", "SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def _(spark, d):
     docs = S.table(spark, d, "events").select("event_id", F.from_json("props", "map<string, string>").alias("props"))
     return docs.select("event_id", F.explode("props").alias("key", "value"))
@@ -493,7 +498,7 @@ def _(spark, d):
 # Agreement
 
 
-CORR = lambda x, y: f"CASE WHEN count(*) > 1 AND count(*) * sum({x} * {x}) > sum({x}) * sum({x}) AND count(*) * sum({y} * {y}) > sum({y}) * sum({y}) THEN (count(*) * sum({x} * {y}) - sum({x}) * sum({y})) / (sqrt(count(*) * sum({x} * {x}) - sum({x}) * sum({x})) * sqrt(count(*) * sum({y} * {y}) - sum({y}) * sum({y}))) END"
+CORR = lambda x, y: f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN corr({x}, {y}) END"
 
 
 @query("pearson", with_cte(S.PAIRED_SQL, f"SELECT model, count(*) AS n, round({CORR('score_a', 'score_b')}, 6) AS r FROM paired GROUP BY model"))
@@ -516,10 +521,10 @@ def _(spark, d):
 
 
 def icc_sql(lanes: list[str], k: int) -> str:
-    row, n = " + ".join(lanes), "count(*)"
-    fix = f"(sum({row}) * sum({row}) / ({n} * {k}))"
-    ss_r, ss_c = f"(sum(({row}) * ({row})) / {k} - {fix})", f"(({' + '.join(f'sum({x}) * sum({x})' for x in lanes)}) / {n} - {fix})"
-    return f"{n} AS n, {ss_r} / ({n} - 1) AS ms_r, {ss_c} / ({k} - 1) AS ms_c, ({' + '.join(f'sum({x} * {x})' for x in lanes)} - {fix} - {ss_r} - {ss_c}) / (({n} - 1) * ({k} - 1)) AS ms_e"
+    row, n = f"(({' + '.join(lanes)}) / {k})", "count(*)"
+    grand = f"(({' + '.join(f'avg({x})' for x in lanes)}) / {k})"
+    ss_r, ss_c = f"{k} * {n} * var_pop({row})", f"{n} * ({' + '.join(f'pow(avg({x}) - {grand}, 2)' for x in lanes)})"
+    return f"{n} AS n, {ss_r} / ({n} - 1) AS ms_r, {ss_c} / ({k} - 1) AS ms_c, ({n} * ({' + '.join(f'var_pop({x})' for x in lanes)}) - {ss_r}) / (({n} - 1) * ({k} - 1)) AS ms_e"
 
 
 def icc_query(lanes: list[str]) -> str:
@@ -634,33 +639,73 @@ def _(spark, d):
     return R.gramian(rows, len(names), "pair_mean").withColumn("value", F.round("value", 3))
 
 
-@query("ols_solution")
+def ols_sql() -> str:
+    """Common table expressions that end in inv(m): Gauss-Jordan over [X'X | X'y | 1], one pivot a step, on columns scaled to unit length.
+
+    A column that those before it explain is left out, so coefficients equal the minimum-norm ones where the columns are independent."""
+    p = len(_X) - 1
+    sums = ", ".join(f"sum({_X[i]} * {_X[j]}) AS g{i}_{j}" for i in range(p + 1) for j in range(i, p + 1))
+    g = lambda i, j: f"g{min(i, j)}_{max(i, j)}"
+    unit = lambda i, j: f"{g(i, j)} / (sqrt({g(i, i)}) * sqrt({g(j, j)}))"
+    rows = ", ".join("[" + ", ".join([*(unit(i, j) for j in range(p)), f"{g(i, p)} / sqrt({g(i, i)})", *(("1.0" if i == j else "0.0") + "::DOUBLE" for j in range(p))]) + "]" for i in range(p))
+    return (
+        f"gm AS (SELECT count(*) AS n, {sums} FROM paired), s0 AS (SELECT n, {g(p, p)} AS yy, [{', '.join(f'sqrt({g(i, i)})' for i in range(p))}] AS scale, [{', '.join(g(i, p) for i in range(p))}] AS xy, [{rows}] AS m FROM gm),"
+        " ge(k, m) AS (SELECT 1, m FROM s0 UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: CASE WHEN m[k][k] > 1e-9 THEN v / m[k][k] ELSE 0 END) ELSE list_transform(r, lambda v, j: CASE WHEN m[k][k] > 1e-9 THEN v - r[k] * m[k][j] / m[k][k] ELSE v END) END)"
+        f" FROM ge WHERE k <= {p}), inv AS (SELECT ge.m AS m, n, yy, scale, xy FROM ge, s0 WHERE k = {p + 1}),"
+        f" beta AS (SELECT i, m[i][{p + 1}] / scale[i] AS beta, m[i][{p + 1} + i] / (scale[i] * scale[i]) AS vii, n, yy, xy FROM inv, range(1, {p + 1}) t(i)),"
+        f" sg AS (SELECT (any_value(yy) - sum(beta * xy[i])) / (any_value(n) - count(*) FILTER (vii > 0)) AS sigma2 FROM beta)"
+    )
+
+
+_TERMS = ["intercept", "log_words", *(f"domain_id={k}" for k in range(2, 8)), "level=2", "level=3", "regime=structured", "regime=ungrounded"]
+_TERM_SQL = "[" + ", ".join(f"'{t}'" for t in _TERMS) + "][i]"
+
+
+@query("ols_solution", with_cte("RECURSIVE " + S.PAIRED_SQL + ", " + ols_sql(), f"SELECT {_TERM_SQL} AS term, round(beta, 5) AS beta, round(sqrt(vii * sigma2), 5) AS se, round(beta / sqrt(vii * sigma2), 3) AS t FROM beta, sg"))
+def _(spark, d):
+    rows = [(k, round(b, 5), round(se, 5), round(t, 3)) for k, b, se, t, *_ in ols_fit(spark, d).rows()]
+    return spark.createDataFrame(rows, "term string, beta double, se double, t double")
+
+
+@query("ols_p")
 def _(spark, d):
+    return spark.createDataFrame(ols_fit(spark, d).rows(), "term string, beta double, se double, t double, p double, log10_p double")
+
+
+def ols_fit(spark, d):
     rows, names = ols(spark, d)
-    fit = R.solve(R.gramian(rows, len(names), "pair_mean"), names)
-    return spark.createDataFrame(fit.rows(), "term string, beta double, se double, t double, p double, log10_p double")
+    return R.solve(R.gramian(rows, len(names), "pair_mean"), names)
+
+
+ADJ_SQL = "RECURSIVE " + S.PAIRED_SQL + ", " + ols_sql() + ", w AS (SELECT model, pair_mean, ln(1 + word_count::DOUBLE) AS x FROM paired), b AS (SELECT (SELECT beta FROM beta WHERE i = 2) AS slope, avg(x) AS mx FROM w)"
 
 
-@query("length_adjusted", with_cte(S.PAIRED_SQL + ", w AS (SELECT model, pair_mean, ln(1 + word_count::DOUBLE) AS x FROM paired), b AS (SELECT regr_slope(pair_mean, x) AS slope, avg(x) AS mx FROM w)", "SELECT model, round(avg(pair_mean), 6) AS raw_mean, round(avg(pair_mean - slope * (x - mx)), 6) AS adjusted_mean FROM w, b GROUP BY model"))
+@query("length_adjusted", with_cte(ADJ_SQL, "SELECT model, round(avg(pair_mean), 6) AS raw_mean, round(avg(pair_mean - slope * (x - mx)), 5) AS adjusted_mean FROM w, b GROUP BY model"))
 def _(spark, d):
-    return rounded(adjusted(spark, d), "raw_mean", "adjusted_mean")
+    return adjusted(spark, d).withColumns({"raw_mean": F.round("raw_mean", 6), "adjusted_mean": F.round("adjusted_mean", 5)})
 
 
 def adjusted(spark, d) -> DataFrame:
-    """The slope comes from one row, joined to a row a model: means of scores and log counts are enough."""
+    """Means less what their answers' length explains: the slope of log words in the regression with domain, level and regime effects."""
     rows = S.paired(spark, d).withColumn("x", F.log1p("word_count"))
-    one = R.simple_fit(rows, "x", "pair_mean").select("slope", "mean_x")
+    slope = float(ols_fit(spark, d).beta[1])
     per = rows.groupBy("model").agg(F.avg("pair_mean").alias("raw_mean"), F.avg("x").alias("x"))
-    return per.crossJoin(one).select("model", "raw_mean", (F.col("raw_mean") - F.col("slope") * (F.col("x") - F.col("mean_x"))).alias("adjusted_mean"))
+    one = rows.agg(F.avg("x").alias("mean_x"))  # one row
+    return per.crossJoin(F.broadcast(one)).select("model", "raw_mean", (F.col("raw_mean") - F.lit(slope) * (F.col("x") - F.col("mean_x"))).alias("adjusted_mean"))
 
 
-@query("rank_shift", with_cte(S.PAIRED_SQL + ", w AS (SELECT model, pair_mean, ln(1 + word_count::DOUBLE) AS x FROM paired), b AS (SELECT regr_slope(pair_mean, x) AS slope, avg(x) AS mx FROM w), m AS (SELECT model, round(avg(pair_mean), 9) AS r, round(avg(pair_mean - slope * (x - mx)), 9) AS a FROM w, b GROUP BY model), k AS (SELECT model, row_number() OVER (ORDER BY r DESC, model) AS raw_rank, row_number() OVER (ORDER BY a DESC, model) AS adjusted_rank FROM m)", "SELECT model, raw_rank, adjusted_rank, raw_rank - adjusted_rank AS shift FROM k"))
+@query("rank_shift", with_cte(ADJ_SQL + ", m AS (SELECT model, round(avg(pair_mean), 6) AS r, round(avg(pair_mean - slope * (x - mx)), 6) AS a FROM w, b GROUP BY model), k AS (SELECT model, row_number() OVER (ORDER BY r DESC, model) AS raw_rank, row_number() OVER (ORDER BY a DESC, model) AS adjusted_rank FROM m)", "SELECT model, raw_rank, adjusted_rank, raw_rank - adjusted_rank AS shift FROM k"))
 def _(spark, d):
-    m = adjusted(spark, d).withColumns({"raw_mean": F.round("raw_mean", 9), "adjusted_mean": F.round("adjusted_mean", 9)})
+    m = adjusted(spark, d).withColumns({"raw_mean": F.round("raw_mean", 6), "adjusted_mean": F.round("adjusted_mean", 6)})
     k = A.rank_systems(A.rank_systems(m, "raw_mean", "raw_rank"), "adjusted_mean", "adjusted_rank")
     return k.select("model", F.col("raw_rank").cast("long"), F.col("adjusted_rank").cast("long"), (F.col("raw_rank") - F.col("adjusted_rank")).cast("long").alias("shift"))
 
 
+@query("null_sentinel_rank", with_cte(S.PAIRED_SQL + ", " + SIZES_SQL, "SELECT model, size_b, row_number() OVER (ORDER BY coalesce(size_b, 999), model) AS place FROM sizes"))
+def _(spark, d):
+    return A.sentinel_rank(sizes(spark, d).select("model", "size_b"), "size_b", "model", 999.0)
+
+
 @query("simple_residual_rank", with_cte(S.PAIRED_SQL + ", b AS (SELECT regr_slope(pair_mean, word_count::DOUBLE) AS slope, regr_intercept(pair_mean, word_count::DOUBLE) AS ic, avg(pair_mean) AS grand FROM paired), m AS (SELECT model, round(avg(pair_mean - (ic + slope * word_count) + grand), 6) AS residual_mean FROM paired, b GROUP BY model)", "SELECT model, residual_mean, row_number() OVER (ORDER BY residual_mean DESC, model) AS rank FROM m"))
 def _(spark, d):
     rows = S.paired(spark, d)
@@ -678,9 +723,16 @@ def log_sizes(spark, d) -> DataFrame:
     return rows.select("model", F.log10("size_b").alias("x"), F.col("mean_score").alias("y"))
 
 
-@query("log_size_regression", with_cte(LOGSIZE_SQL, "SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM z"))
+@query("log_size_regression", with_cte(LOGSIZE_SQL, "SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(y, x), 6) AS r, round(regr_r2(y, x), 6) AS r2, round(sqrt((1 - regr_r2(y, x)) * var_pop(y) / ((count(*) - 2) * var_pop(x))), 6) AS se FROM z"))
+def _(spark, d):
+    return rounded(R.simple_fit(log_sizes(spark, d), "x", "y").select("n", "slope", "intercept", "r", "r2", "se"), "slope", "intercept", "r", "r2", "se")
+
+
+@query("log_size_p")
 def _(spark, d):
-    return rounded(R.simple_fit(log_sizes(spark, d), "x", "y").select("n", "slope", "intercept", "r2"), "slope", "intercept", "r2")
+    from assay.functions import prob
+
+    return _with_p(R.simple_fit(log_sizes(spark, d), "x", "y").select("n", "slope", "se", "r"), lambda r, n: prob.pearson_p(r, n))
 
 
 @query("residual_extremes", with_cte(LOGSIZE_SQL + ", b AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM z), e AS (SELECT model, round(y - (i + s * x), 6) AS residual FROM z, b)", "(SELECT 'top' AS side, model, residual FROM e ORDER BY residual DESC, model LIMIT 5) UNION ALL (SELECT 'bottom', model, residual FROM e ORDER BY residual, model LIMIT 5)"))
@@ -809,10 +861,13 @@ DIFF_SQL = f"SELECT pair, {CI_SQL('difference')}, quantile_cont(difference, 0.02
 
 
 def rep_differences(spark, d, plan: DataFrame) -> DataFrame:
-    m = rep_means(spark, d, ["model", "domain_id"], plan)
-    wide = m.groupBy("rep", "model").pivot("domain_id", S.DOMAINS).agg(F.max("mean"))
-    c = wide.select("rep", "model", sum((F.col(str(k)) * F.lit(w) for k, w in S.WEIGHTS.items()), F.lit(0.0)).alias("composite"))
-    own = spark.createDataFrame(COMPARED, "first string, second string")
+    return differences_ci(rep_means(spark, d, ["model", "domain_id"], plan))
+
+
+def differences_ci(m: DataFrame) -> DataFrame:
+    """Intervals of the compared systems' differences of composites, from replicates' domain means."""
+    c = rep_composites(m)
+    own = m.sparkSession.createDataFrame(COMPARED, "first string, second string")
     a = c.select("rep", F.col("model").alias("first"), F.col("composite").alias("a"))
     b = c.select("rep", F.col("model").alias("second"), F.col("composite").alias("b"))
     both = own.join(a, "first").join(b, ["second", "rep"]).select(F.concat_ws("__minus__", "first", "second").alias("pair"), (F.col("a") - F.col("b")).alias("difference"))
@@ -841,19 +896,138 @@ def _(spark, d):
 
 @query("bootstrap_reliability")
 def _(spark, d):
-    plan, rows = B.hash_plan(clusters(spark, d), REPS, SEED), S.paired(spark, d)
-    return B.replicate_icc(plan, rows, "score_a", "score_b").join(B.replicate_spearman(plan, rows, "score_a", "score_b"), "rep").join(B.replicate_limits(plan, rows, "diff"), "rep")
+    return rep_reliability(S.paired(spark, d))
+
+
+def rep_reliability(rows: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
+    plan = B.hash_plan(rows.select("domain_id", "question_id").distinct(), reps, seed)
+    out = B.replicate_icc(plan, rows, "score_a", "score_b").join(B.replicate_spearman(plan, rows, "score_a", "score_b"), "rep")
+    return out.join(B.replicate_limits(plan, rows, "diff").withColumnsRenamed({"low": "empirical_low", "high": "empirical_high"}), "rep").join(B.replicate_rates(plan, rows, "diff"), "rep")
+
+
+RELIABILITY = ["mean_diff", "mean_abs_diff", "pearson", "spearman", "exact", "within_25", "within_50", "within_100", "normal_low", "normal_high", "empirical_low", "empirical_high", "icc_1", "icc_k"]
+RATE_SQL = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
+REL_SQL = S.PAIRED_SQL + ", " + plan_sql("paired") + (
+    ", st AS (SELECT question_id, count(*) AS n, sum(diff) AS sd, sum(diff * diff) AS sdd, sum(abs(diff)) AS sabs, sum(score_a) AS sa, sum(score_b) AS sb, sum(score_a * score_a) AS saa, sum(score_b * score_b) AS sbb, sum(score_a * score_b) AS sab,"
+    f" {RATE_SQL('abs(diff) < 1e-9')} AS e0, {RATE_SQL('abs(diff) <= 0.25')} AS e1, {RATE_SQL('abs(diff) <= 0.5')} AS e2, {RATE_SQL('abs(diff) <= 1.0')} AS e3 FROM paired GROUP BY ALL)"
+    ", t AS (SELECT rep, " + ", ".join(f"sum(mult * {c})::DOUBLE AS {c}" for c in ("n", "sd", "sdd", "sabs", "sa", "sb", "saa", "sbb", "sab", "e0", "e1", "e2", "e3")) + " FROM plan JOIN st USING (question_id) GROUP BY rep)"
+    ", f AS (SELECT *, (sa + sb) * (sa + sb) / (2 * n) AS fx, sqrt((sdd - sd * sd / n) / (n - 1)) AS dev FROM t)"
+    ", m AS (SELECT *, ((saa + sbb + 2 * sab) / 2 - fx) / (n - 1) AS r, (sa * sa + sb * sb) / n - fx AS c FROM f), e AS (SELECT *, (saa + sbb - fx - r * (n - 1) - c) / (n - 1) AS e FROM m)"
+    ", hs AS (SELECT rep, score_a, score_b, sum(mult * k) AS w FROM plan JOIN (SELECT question_id, score_a, score_b, count(*) AS k FROM paired GROUP BY ALL) USING (question_id) GROUP BY ALL)"
+    ", ra AS (SELECT rep, score_a, sum(w) OVER (PARTITION BY rep ORDER BY score_a) - w / 2.0 + 0.5 AS x FROM (SELECT rep, score_a, sum(w)::DOUBLE AS w FROM hs GROUP BY ALL))"
+    ", rb AS (SELECT rep, score_b, sum(w) OVER (PARTITION BY rep ORDER BY score_b) - w / 2.0 + 0.5 AS y FROM (SELECT rep, score_b, sum(w)::DOUBLE AS w FROM hs GROUP BY ALL))"
+    ", rk AS (SELECT rep, w::DOUBLE AS w, x - (sum(w) OVER (PARTITION BY rep) + 1) / 2.0 AS x, y - (sum(w) OVER (PARTITION BY rep) + 1) / 2.0 AS y FROM hs JOIN ra USING (rep, score_a) JOIN rb USING (rep, score_b))"
+    ", sp AS (SELECT rep, sum(w * x * y) / (sqrt(sum(w * x * x)) * sqrt(sum(w * y * y))) AS spearman FROM rk GROUP BY rep)"
+    ", cu AS (SELECT rep, diff, sum(w) OVER (PARTITION BY rep ORDER BY diff) AS upto, sum(w) OVER (PARTITION BY rep) AS n FROM (SELECT rep, diff, sum(mult * k)::DOUBLE AS w FROM plan JOIN (SELECT question_id, diff, count(*) AS k FROM paired GROUP BY ALL) USING (question_id) GROUP BY ALL))"
+    ", pc AS (SELECT rep, " + ", ".join(f"min(diff) FILTER (upto > floor((n - 1) * {p})) AS lo{k}, min(diff) FILTER (upto > ceil((n - 1) * {p})) AS hi{k}, any_value((n - 1) * {p} - floor((n - 1) * {p})) AS f{k}" for k, p in ((0, "0.025::DOUBLE"), (1, "0.975::DOUBLE"))) + " FROM cu GROUP BY rep)"
+    ", every AS (SELECT rep, sd / n AS mean_diff, sabs / n AS mean_abs_diff, (n * sab - sa * sb) / (sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) AS pearson, spearman, e0 / n AS exact, e1 / n AS within_25, e2 / n AS within_50, e3 / n AS within_100,"
+    " sd / n - 1.96 * dev AS normal_low, sd / n + 1.96 * dev AS normal_high, lo0 + (hi0 - lo0) * f0 AS empirical_low, lo1 + (hi1 - lo1) * f1 AS empirical_high, (r - e) / (r + e + 2 * (c - e) / n) AS icc_1, (r - e) / (r + (c - e) / n) AS icc_k FROM e JOIN sp USING (rep) JOIN pc USING (rep))"
+)
+
+
+@query("bootstrap_reliability_ci", with_cte(REL_SQL, " UNION ALL ".join(f"SELECT '{k}' AS measure, count({k}) AS reps, round(quantile_cont({k}, 0.025), 4) AS ci_95_low, round(quantile_cont({k}, 0.975), 4) AS ci_95_high FROM every" for k in RELIABILITY)))
+def _(spark, d):
+    return reliability_ci(S.paired(spark, d))
+
+
+def reliability_ci(rows: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
+    every = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).cast("double").alias("value")) for k in RELIABILITY))
+    ci = B.interval(rep_reliability(rows, reps, seed).select(F.inline(every)), ["measure"], "value")
+    return ci.select("measure", "reps", F.round("ci_low", 4).alias("ci_95_low"), F.round("ci_high", 4).alias("ci_95_high"))
+
+
+LB_SQL = BM_SQL + ", " + BD_SQL[BD_SQL.index("{plan}, ") + 8 :].replace("st AS (SELECT question_id, model, domain_id", "sd AS (SELECT question_id, model, domain_id").replace("JOIN st USING", "JOIN sd USING") + (
+    ", ob AS (SELECT model, count(*) AS paired_rows, avg(pair_mean) AS mean FROM paired GROUP BY model), dm AS (SELECT model, domain_id, avg(pair_mean) AS m FROM paired GROUP BY model, domain_id)"
+    f", comp AS (SELECT model, 0::DOUBLE + {SUM_SQL} AS composite FROM dm GROUP BY model)"
+    ", o AS (SELECT *, row_number() OVER (ORDER BY round(mean, 9) DESC, model) AS k FROM ob), oc AS (SELECT *, row_number() OVER (ORDER BY round(composite, 9) DESC, model) AS k FROM comp WHERE composite IS NOT NULL)"
+    ", r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY round(mean, 9) DESC, model) AS k FROM bm), rc AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY round(composite, 9) DESC, model) AS k FROM bc WHERE composite IS NOT NULL)"
+    ", " + ", ".join(
+        f"{name} AS (SELECT model, round(quantile_cont({x}, 0.025), 4) AS low, round(quantile_cont({x}, 0.975), 4) AS high, round(quantile_cont(k::DOUBLE, 0.5), 2) AS mid, round(quantile_cont(k::DOUBLE, 0.025), 2) AS k_low, round(quantile_cont(k::DOUBLE, 0.975), 2) AS k_high, round(avg(CASE WHEN k <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS top_1, round(avg(CASE WHEN k <= 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS top_3 FROM {of} GROUP BY model)"
+        for name, of, x in (("ra", "r", "mean"), ("ca", "rc", "composite"))
+    )
+)
+BAND = {"median_bootstrap_rank": "mid", "rank_95_low": "k_low", "rank_95_high": "k_high", "top_1_rate": "top_1", "top_3_rate": "top_3"}
+LB_OUT = (
+    "SELECT o.model, paired_rows, round(mean, 4) AS observed_mean, ra.low AS ci_95_low, ra.high AS ci_95_high, o.k AS observed_rank, " + ", ".join(f"ra.{c} AS {n}" for n, c in BAND.items())
+    + ", round(composite, 4) AS composite_observed, ca.low AS composite_ci_95_low, ca.high AS composite_ci_95_high, oc.k AS composite_observed_rank, " + ", ".join(f"ca.{c} AS composite_{n}" for n, c in BAND.items())
+    + " FROM o LEFT JOIN ra USING (model) LEFT JOIN oc USING (model) LEFT JOIN ca USING (model)"
+)
+
+
+def band(reps: DataFrame, value: str, prefix: str = "") -> DataFrame:
+    """(model, interval, median rank, rank band, how often first and among the first three) over replicates."""
+    own = reps.where(F.col(value).isNotNull()).select("rep", "model", F.round(value, 9).alias("_ranked"), value)
+    ci = B.interval(own, ["model"], value).select("model", F.round("ci_low", 4).alias(f"{prefix}ci_95_low"), F.round("ci_high", 4).alias(f"{prefix}ci_95_high"))
+    ranks = B.rank_bands(own, value="_ranked")
+    return ci.join(ranks.select("model", F.round("median_rank", 2).alias(f"{prefix}median_bootstrap_rank"), F.round("rank_low", 2).alias(f"{prefix}rank_95_low"), F.round("rank_high", 2).alias(f"{prefix}rank_95_high"), F.round("top_1", 4).alias(f"{prefix}top_1_rate"), F.round("top_3", 4).alias(f"{prefix}top_3_rate")), "model")
 
 
-BR_SQL = S.PAIRED_SQL + ", rr AS (SELECT level, pair_mean, row_number() OVER (PARTITION BY level ORDER BY question_id, model, response_id, pair_mean) - 1 AS slot, count(*) OVER (PARTITION BY level) AS size FROM paired WHERE question_id % 20 = 1), dr AS (SELECT rep, level, ('0x' || substr(md5('7:' || rep || ':' || level || ':' || slot), 1, 8))::BIGINT % size AS slot FROM rr, range(20) t(rep)), m AS (SELECT rep, level, avg(pair_mean) AS mean FROM dr JOIN rr USING (level, slot) GROUP BY ALL)"
+def rep_composites(m: DataFrame) -> DataFrame:
+    """(rep, model, composite) of each replicate's domain means (rep, model, domain_id, mean); null where a domain is missing."""
+    wide = m.groupBy("rep", "model").pivot("domain_id", S.DOMAINS).agg(F.max("mean"))
+    return wide.select("rep", "model", sum((F.col(str(k)) * F.lit(w) for k, w in S.WEIGHTS.items()), F.lit(0.0)).alias("composite"))
+
+
+def leaderboard(rows: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
+    """The 20 columns that are published for each system of the paired rows."""
+    plan = B.hash_plan(rows.select("domain_id", "question_id").distinct(), reps, seed)
+    own = B.replicate_means(plan, B.sums(rows, ["model"], total=F.col("pair_mean")), ["model"], "total")
+    by_domain = B.replicate_means(plan, B.sums(rows, ["model", "domain_id"], total=F.col("pair_mean")), ["model", "domain_id"], "total")
+    seen = rows.groupBy("model").agg(F.count("*").alias("paired_rows"), F.avg("pair_mean").alias("mean"))
+    whole = A.composite(A.means(rows, ["domain_id", "model"], "pair_mean"), S.WEIGHTS)
+    rank = lambda df, c, name: A.rank_systems(df.withColumn("_ranked", F.round(c, 9)), "_ranked", name).withColumn(name, F.col(name).cast("long"))
+    out = rank(seen, "mean", "observed_rank").select("model", "paired_rows", F.round("mean", 4).alias("observed_mean"), "observed_rank").join(band(own, "mean"), "model", "left")
+    composites = rank(whole, "composite", "composite_observed_rank").select("model", F.round("composite", 4).alias("composite_observed"), "composite_observed_rank")
+    out = out.join(composites, "model", "left").join(band(rep_composites(by_domain), "composite", "composite_"), "model", "left")
+    return out.select(*LEADERBOARD)
+
+
+LEADERBOARD = ["model", "paired_rows", "observed_mean", "ci_95_low", "ci_95_high", "observed_rank", *BAND, *(f"composite_{c}" for c in ("observed", "ci_95_low", "ci_95_high", "observed_rank", *BAND))]
+
+
+@query("bootstrap_leaderboard", with_cte(LB_SQL, LB_OUT))
+def _(spark, d):
+    return leaderboard(S.paired(spark, d))
 
 
-@query("bootstrap_rows_ci", with_cte(BR_SQL, f"SELECT level, {CI_SQL('mean')} FROM m GROUP BY level"))
+@query("composite_leaderboard", with_cte(LB_SQL, f"SELECT * FROM ({LB_OUT}) WHERE composite_observed IS NOT NULL ORDER BY composite_observed DESC, model"))
 def _(spark, d):
-    """Rows themselves are drawn, all of them, in as many replicates as the reference draws."""
+    return leaderboard(S.paired(spark, d)).where("composite_observed IS NOT NULL").orderBy(F.desc("composite_observed"), "model")
+
+
+@query("bootstrap_domain_ci", with_cte(LB_SQL, "SELECT domain_id, model, round(any_value(v.m), 4) AS observed_mean, round(quantile_cont(bd.m, 0.025), 4) AS ci_95_low, round(quantile_cont(bd.m, 0.975), 4) AS ci_95_high FROM dm v JOIN bd USING (domain_id, model) GROUP BY domain_id, model"))
+def _(spark, d):
+    return domain_ci(S.paired(spark, d))
+
+
+def domain_ci(rows: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
+    keys = ["domain_id", "model"]
+    plan = B.hash_plan(rows.select("domain_id", "question_id").distinct(), reps, seed)
+    ci = B.interval(B.replicate_means(plan, B.sums(rows, keys, total=F.col("pair_mean")), keys, "total"), keys, "mean")
+    seen = A.means(rows, keys, "pair_mean").select("domain_id", "model", F.round("mean_score", 4).alias("observed_mean"))
+    return seen.join(ci.select("domain_id", "model", F.round("ci_low", 4).alias("ci_95_low"), F.round("ci_high", 4).alias("ci_95_high")), ["domain_id", "model"])
+
+
+def row_ci(spark, d, by: list[str], least: int = 1) -> DataFrame:
+    """Rows themselves are drawn, all of them. No SQL: 1000 draws of every row are too many for an engine that makes each one a row."""
     ship(spark)
-    means = B.row_means(S.paired(spark, d), "level", "pair_mean", ROW_REPS, SEED)
-    return rounded(B.interval(means, ["level"], "mean"), "ci_low", "ci_mid", "ci_high")
+    means = B.row_means(S.paired(spark, d), by, "pair_mean", REPS, SEED, least)
+    return rounded(B.interval(means, by, "mean"), "ci_low", "ci_mid", "ci_high")
+
+
+@query("bootstrap_rows_ci")
+def _(spark, d):
+    return row_ci(spark, d, ["level"])
+
+
+@query("bootstrap_rows_model_ci")
+def _(spark, d):
+    return row_ci(spark, d, ["model"])
+
+
+@query("bootstrap_rows_cell_ci")
+def _(spark, d):
+    return row_ci(spark, d, ["model", "domain_id"], least=3)
 
 
 BQ_SQL = S.QMEAN_SQL + ", " + plan_sql("paired") + ", m AS (SELECT rep, model, domain_id, sum(mult * mean_score) / sum(mult) AS mean FROM plan JOIN qmean USING (question_id) GROUP BY ALL)"
@@ -866,10 +1040,9 @@ def _(spark, d):
     return rounded(B.interval(m, ["model", "domain_id"], "mean"), "ci_low", "ci_mid", "ci_high")
 
 
-@query("eligible_models", with_cte(S.PAIRED_SQL + ", " + MM_SQL, "SELECT model, n FROM mm WHERE n >= (SELECT avg(n) FROM mm)"))
+@query("eligible_models", with_cte(S.PAIRED_SQL + ", " + MM_SQL, "SELECT model, n FROM mm WHERE n >= 100"))
 def _(spark, d):
-    m = A.means(S.paired(spark, d), ["model"], "pair_mean").select("model", "n")
-    return m.crossJoin(m.agg(F.avg("n").alias("least"))).where("n >= least").select("model", "n")
+    return P.eligible(S.paired(spark, d), 100).groupBy("model").agg(F.count("*").alias("n"))
 
 
 # Provenance and export
@@ -891,7 +1064,7 @@ def _(spark, d):
 FP_KEY = "model || '|' || question_id || '|' || run_number || '|' || (score_a * 8)::INT || '|' || (score_b * 8)::INT"
 
 
-@query("rowset_fingerprint", with_cte(S.STAR_SQL, f"SELECT model, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint, count(*) AS n FROM (SELECT model, sha256({FP_KEY}) AS h FROM star) GROUP BY model"))
+@query("rowset_fingerprint", with_cte(S.STAR_SQL, f"SELECT model, sha256(string_agg(d, '' ORDER BY r)) AS fingerprint, sum(n)::BIGINT AS n FROM (SELECT model, substr(h, 1, 3) AS r, sha256(string_agg(h || ':' || n, '' ORDER BY h || ':' || n)) AS d, sum(n) AS n FROM (SELECT model, sha256({FP_KEY}) AS h, count(*) AS n FROM star GROUP BY ALL) GROUP BY ALL) GROUP BY model"))
 def _(spark, d):
     from assay.sources.export import fingerprint
 
