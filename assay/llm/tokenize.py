@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, whose answers for recurring stretches of text are remembered.
 
-A byte-level vocabulary cuts a text into pieces before it merges bytes, and a piece never reaches across a single space
-between two printable characters: it ends before that space and the next one starts with it. So a text is cut at these
-spaces into units, its ids are its units' ids one after another, and a unit's ids need the library only once. Columns are cut
+A byte-level vocabulary cuts a text into pieces before it merges bytes. A piece never reaches across a single space
+between two printable characters: it ends before that space and the next one starts with it. And it never holds two kinds of
+ASCII letters, digits and signs, but where an apostrophe stands. So a text is cut at these places into units, its ids are its
+units' ids one after another, and a unit's ids need the library only once. Columns are cut
 as a whole, from their UTF-8 bytes; units are told apart by 64-bit hashes of their bytes, so two given units are taken for one
 another with a probability of 2 ** -64. New units of Latin letters, digits and common signs are cut into pieces here by the
 library's rule; anything else is cut by its own pre-tokenizer. Texts that hold a special token's string go to the library whole.
@@ -36,10 +37,19 @@ def solid() -> np.ndarray:
     return _SOLID
 
 
+#: ASCII letters, digits, and signs but the apostrophe.
+_KIND = np.array([1 if c.isalpha() else 2 if c.isdigit() else 3 if "!" <= c <= "~" and c != "'" else 0 for c in map(chr, range(128))] + [0] * 128, np.uint8).tobytes()
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places of the single spaces between two solid characters of a text; characters beyond 16 bits count as not solid."""
+    """Places in texts of single spaces between two solid characters, and of ASCII characters of another kind than the one before.
+
+    Characters beyond 16 bits count as not solid."""
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
+    change = change[~edge[change]]
     at = np.flatnonzero(data == 32)
     at = at[~edge[at] & ~edge[at + 1]]
     ok, known = np.ones(len(at), bool), solid()
@@ -58,7 +68,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 a, b = np.where(two, b, a), np.where(two, c, b)
             point = np.where((a >= 0xC0) & (a < 0xE0), (a & 31) << 6 | b & 63, np.where((a >= 0xE0) & (a < 0xF0), (a & 15) << 12 | (b & 63) << 6 | c & 63, 0))
             ok[odd] = known[point]
-    return at[ok]
+    return np.concatenate([at[ok], change])
 
 
 class Units:
@@ -168,11 +178,12 @@ class Tokens:
 
     def _unit(self, unit: str) -> bytes:
         """A stretch of text that begins and ends where the library cuts too."""
-        if unit.isascii() and unit[:1] == " ":
-            core = unit.rstrip(".,;:!?")
-            if core[1:].isalpha():  # much the commonest shape
-                head = self.pieces[core]
-                return head + self.pieces[unit[len(core) :]] if len(core) < len(unit) else head
+        if unit.isascii():  # much the commonest shapes: one word
+            if unit[0] == " ":
+                if unit[1:].isalpha():
+                    return self._mapped(self.byte[32] + unit[1:])
+            elif unit.isalpha():
+                return self._mapped(unit)
         if any(s in unit for s in self.special):
             return array(self.code, self.library.encode(unit, add_special_tokens=False).ids).tobytes()
         if PLAIN.fullmatch(unit, 1 if unit[:1] == " " else 0):
