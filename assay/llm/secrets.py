@@ -34,7 +34,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 NEEDED = ("pass", "secret", "token", "key")  # an assignment's name holds one of these
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-WORDS = re.compile(r"(?:[A-Z]{0,4}[a-z]{2,}|[A-Z]{2,})*[0-9]{0,4}|[0-9]+")
+#: Words of two small letters or more, capitals before or after, and a short number; possessive, so that each character is read once.
+WORDS = re.compile(r"(?:[A-Z]*+[a-z]{2,}+)*+(?:[A-Z]{2,}+)?+[0-9]{0,4}+|[0-9]++")
 
 
 @functools.lru_cache(maxsize=4)
@@ -67,12 +68,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def covered(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order, each once."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans_of(text: str, encode, max_ratio: float) -> list[tuple[str, int, int]]:
     found = base_spans(text)
-    taken = [(a, b) for _, a, b in found]
+    taken, k = covered(found), 0
     for m in RUN.finditer(text):
         run, (a, b) = m.group(), m.span()
-        if len(run) <= max_ratio * len(encode(run)) and not known(run, encode, max_ratio) and not any(a < y and x < b for x, y in taken):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if (k == len(taken) or taken[k][0] >= b) and len(run) <= max_ratio * len(encode(run)) and not known(run, encode, max_ratio):
             found.append(("token", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
