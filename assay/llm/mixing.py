@@ -4,10 +4,11 @@
    the excess is reshared by weight until none is above.
 2. Each source's documents, shuffled by a hash, stand one after another as a tape of tokens that is cut into blocks of
    ``block_tokens`` (the last may be shorter). The tape is read from its start as often as the target asks.
-3. The schedule: slot i of the mix takes the i-th van der Corput point (i's bits reversed) through the cumulative shares
-   and so falls to one source; the slot's rank among its source's slots says which block, in which epoch, it reads.
+3. The schedule: slot i of the mix takes the i-th van der Corput point (i's bits reversed) through the cumulative targets,
+   counted in whole slots, and so falls to one source; the slot's rank among its source's slots says which block, in
+   which epoch, it reads. So every stretch of the mix holds the sources nearly in their shares.
    A source's last slot is cut short where its target ends, so that the taken tokens are the rounded target.
-4. Slots and document pieces are joined by (source, block).
+4. Slots and document pieces are joined by (source, block): what a document gives, how often, and in which slot first.
 
 A source may hold any share of the rows: running sums go over hash ranges of a source first and then inside each, ranks
 over ranges of slots, so that no task sorts a whole source.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from assay.llm.common import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
+CHUNK = 512
 
 
 def words(text: Column) -> Column:
@@ -112,10 +114,10 @@ def tape(sized: DataFrame, one: DataFrame, rows_a_range: int = 20_000) -> DataFr
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, block_tokens: int = 4096, seed: int = 7) -> DataFrame:
-    """Rows (id, source, place, size, source_size, target, taken, uses): one for each document.
+    """Rows (id, source, place, size, source_size, target, taken, uses, first_slot): one for each document.
 
     taken counts the document's words that the mix reads, repeats included; uses counts the slots that read its first word,
-    which is how often a mix of whole documents takes it."""
+    which is how often a mix of whole documents takes it; first_slot is the first of these slots, the document's place in the mix."""
     spark = df.sparkSession
     sized = materialize(sizes(df, id_col, text_col, source_col, seed), "sizes")
     one = materialize(targets(sized, weights, max_epochs), "targets")
@@ -133,7 +135,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     slots = slots.join(about, "ord")
     # How often each block is read whole, and the tokens of its one reading that is cut short, if any.
     short = (F.col("rank") == F.col("last")) & (F.col("cut") < block_tokens)
-    reads = slots.groupBy("ord", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.sum(F.when(short, 0).otherwise(1)).alias("whole"), F.max(F.when(short, F.col("cut")).otherwise(0)).alias("cut"))
+    reads = slots.groupBy("ord", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.sum(F.when(short, 0).otherwise(1)).alias("whole"), F.max(F.when(short, F.col("cut")).otherwise(0)).alias("cut"), F.min("slot").alias("slot"))
     docs = tape(sized, one)
     docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
     first, last = F.expr(f"start div {block_tokens}"), F.expr(f"(start + greatest(size, 1) - 1) div {block_tokens}")
@@ -144,29 +146,36 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     read = pieces.join(reads, ["ord", "block"], "left")
     got = F.coalesce(F.col("whole"), F.lit(0)) * (F.col("high") - F.col("low")) + F.greatest(F.least(F.col("high"), F.coalesce(F.col("cut"), F.lit(0))) - F.col("low"), F.lit(0))
     use = F.when(F.col("opens") & (F.col("size") > 0), F.coalesce(F.col("whole"), F.lit(0)) + (F.coalesce(F.col("cut"), F.lit(0)) > F.col("low")).cast("long")).otherwise(0)
-    taken = read.groupBy("id", "source", "place", "copy", "size").agg(F.sum(got).cast("long").alias("taken"), F.sum(use).cast("long").alias("uses"))
+    taken = read.groupBy("id", "source", "place", "copy", "size").agg(F.sum(got).cast("long").alias("taken"), F.sum(use).cast("long").alias("uses"), F.min(F.when(use > 0, F.col("slot"))).alias("first_slot"))
     return taken.join(one.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def replicate(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """df's rows, each as often as the mix uses it; of rows that are equal to the mix, the first take what cannot be shared out evenly."""
+    """df's rows, each as often as the mix uses it; of rows that are equal to the mix, the first in order of their other columns take what cannot be shared out evenly.
+
+    Rows that are equal in all columns are counted before they are repeated, CHUNK repeats at a time, so that no task holds or makes a large
+    group of them. Columns must be of types that can be grouped (no maps)."""
     names, text = df.columns, F.col(text_col).cast("string")
     whole = mixed.groupBy("place", "source").agg(F.sum("uses").alias("total"), F.count("*").alias("rows")).where("total > 0")
     whole = whole.select(F.col("place").alias("_place"), F.col("source").alias("_src"), "total", "rows")
     marked = df.select(F.struct(*names).alias("row"), place_of(F.col(id_col), text, seed).alias("place"), F.col(source_col).cast("string").alias("src"))
-    found = marked.join(whole, (F.col("place") == F.col("_place")) & F.col("src").eqNullSafe(F.col("_src")))
-    nth = F.row_number().over(Window.partitionBy("place", "src").orderBy(F.lit(1)))
-    times = F.expr("total div rows") + (F.col("nth") <= F.col("total") % F.col("rows")).cast("long")
-    found = found.withColumn("nth", nth).withColumn("times", times.cast("int")).where("times > 0")
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_nth")).select("row.*")
+    found = marked.join(whole, (F.col("place") == F.col("_place")) & F.col("src").eqNullSafe(F.col("_src"))).select("row", "place", "src", "total", "rows")
+    one = found.where("rows = 1").select("row", F.col("total").alias("times"))
+    same = found.where("rows > 1").groupBy("place", "src", "row", "total", "rows").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("place", "src").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least(F.col("held"), F.col("total") % F.col("rows") - F.col("before")))
+    same = same.withColumn("before", before).select("row", (F.col("held") * F.expr("total div rows") + extra).alias("times")).where("times > 0")
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {CHUNK}"))))
+    parts = parts.select("row", F.least(F.lit(CHUNK), F.col("times") - F.col("part") * CHUNK).alias("times"), "part").repartition(F.xxhash64("row"), "part")
+    return one.unionAll(parts.select("row", "times")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_nth")).select("row.*")
 
 
 def op10_source_mixing(spark, sf_dir) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The same without a schedule: how often a tape is read from its start follows from its length and target alone.
+#: What is taken follows from a tape's length and target alone; the first slot from the schedule, point by point.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -186,6 +195,16 @@ p AS (
   SELECT d.*, t.source_size, t.target, least(round_even(target, 0)::BIGINT, 3 * t.source_size) AS goal,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(least(start + size, goal % source_size) - start, 0) END::BIGINT AS taken
-FROM p"""
+n AS (
+  SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST) - slots AS low, sum(slots) OVER () AS every
+  FROM (SELECT source, goal, source_size, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * ((source_size + 4095) // 4096) + (goal % source_size + 4095) // 4096 END AS slots
+        FROM (SELECT source, target, source_size, least(round_even(target, 0)::BIGINT, 3 * source_size) AS goal FROM t))),
+b AS (SELECT any_value(every)::BIGINT AS every, (SELECT min(k) FROM range(0, 62) x(k) WHERE (1::BIGINT << k) >= any_value(n.every)) AS bits FROM n),
+v AS (
+  SELECT i, (SELECT coalesce(sum(((i >> k) & 1) << (bits - 1 - k)), 0) FROM range(0, 62) x(k) WHERE k < bits) AS at, every
+  FROM b, range(0, (SELECT CASE WHEN every > 0 THEN 1::BIGINT << bits ELSE 0 END FROM b)) y(i)),
+s2 AS (SELECT n.source, v.i AS slot, row_number() OVER (PARTITION BY n.source ORDER BY v.i) - 1 AS rank FROM v JOIN n ON at >= low AND at < low + slots WHERE at < v.every)
+SELECT doc_id, size, p.source_size, target,
+  CASE WHEN p.source_size = 0 THEN 0 ELSE (p.goal // p.source_size) * size + greatest(least(start + size, p.goal % p.source_size) - start, 0) END::BIGINT AS taken,
+  CASE WHEN size > 0 AND NOT (p.goal // p.source_size = 0 AND start >= p.goal % p.source_size) THEN slot END AS first_slot
+FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source LEFT JOIN s2 ON s2.source IS NOT DISTINCT FROM p.source AND s2.rank = start // 4096"""
