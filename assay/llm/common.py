@@ -11,10 +11,12 @@ from assay import session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine (tests) a folder of our own."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.gettempdir()}/assay-shared"
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -185,6 +185,54 @@ def test_blocks_of_items_change_nothing(spark):
     assert len(want) > 15 and leaks(2) == want == leaks(5)
 
 
+def test_fingerprints_within_the_radius_are_found():
+    """All of them, by flips of blocks; and how many similar windows lie within it."""
+    rng = np.random.default_rng(4)
+    texts = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(200)]
+    items = decontaminate.Items(texts, 5, 18, 0.8)
+    base = items.prints[rng.integers(0, 200, 400)]
+    noise = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) for n in rng.integers(1, 28, 400)], np.uint64)
+    prints = np.concatenate([base ^ noise, rng.integers(0, 1 << 64, 200, dtype=np.uint64)])
+    window, item = items.near(30, prints)
+    want = np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= 18
+    assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True)) and want.sum() > 200
+    far = total = 0
+    for k in range(150):  # windows of similarity 0.8 to 0.9
+        words = texts[k][1].split()
+        for at in rng.integers(0, 26, 12):
+            w = words[:]
+            w[at] = "other"
+            got = decontaminate.rolling(decontaminate.hashes(" ".join(w)), 5)
+            sim = items.alike(got, k)
+            if sim >= 0.8:
+                own = decontaminate.fold((decontaminate.bits_of(got).astype(np.int32) * items.weights(got)[:, None]).sum(axis=0)[None, :])
+                far, total = far + int(np.bitwise_count(own ^ items.prints[k])[0] > 18), total + 1
+    assert total > 100 and far <= 0.01 * total
+
+
+# secrets: bounded work
+
+
+def test_identifiers_are_read_once():
+    import time
+
+    began = time.time()
+    encode = secrets.vocabulary(None).encode_ordinary
+    for text in ("x" * 100_000 + "12345", "aB" * 50_000 + "12345", "Ab" * 30 + "12345", ("ab" * 20 + "1" * 5 + " ") * 2000, "AKIA" + "A" * 20 + " " + "k_" * 40_000):
+        secrets.spans_of(text, encode, 2.0)
+    old = re.compile(r"(?:[A-Z]{0,4}[a-z]{2,}|[A-Z]{2,})*[0-9]{0,4}|[0-9]+")
+    rng = random.Random(2)
+    for _ in range(20_000):
+        word = "".join(rng.choice("aabAB1") for _ in range(rng.randint(0, 9)))
+        assert bool(old.fullmatch(word)) == bool(secrets.WORDS.fullmatch(word)), word
+    assert time.time() - began < 20
+    key = "q7Gz81KpLx03VbTn55Rw"
+    many = " ".join(["password=abcdef" + str(i) for i in range(3000)] + [key] + ["token: zzzzzz"] * 3000)
+    found = secrets.spans_of(many, encode, 2.0)
+    assert sum(k == "assign" for k, *_ in found) == 6000 and [many[a:b] for k, a, b in found if k == "token"] == [key]
+    assert secrets.covered([("a", 5, 9), ("b", 1, 3), ("c", 8, 12), ("d", 12, 13)]) == [(1, 3), (5, 12), (12, 13)]
+
+
 # language
 
 WORDS = {"en": "the of and that with from this have they which their would there".split(), "de": "der die und nicht mit ein auch sich über werden können schließlich".split()}
@@ -627,11 +675,40 @@ def test_mix_meets_targets(spark):
     assert all(r.taken <= 3 * r.size for r in got)
     again = mixing.mix(docs(spark, rows).repartition(5), block_tokens=64)
     assert pairs(again, "id", "source", "copy", "taken") == pairs(mixed, "id", "source", "copy", "taken")
+    assert pairs(again, "id", "source", "first_slot") == pairs(mixed, "id", "source", "first_slot") and all((r.first_slot is None) == (r.uses == 0) for r in got)
     many = mixing.replicate(docs(spark, rows), mixed)
     assert many.count() == sum(r.uses for r in got) and many.columns == docs(spark, rows).columns
     assert mixing.mix(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("plan", [[(0, 1)], [(0, 5), (1, 3), (2, 11)], [(0, 400), (1, 37), (3, 1), (4, 250)], [(k, k + 1) for k in range(80)]])
+def test_every_prefix_of_the_schedule_keeps_the_shares(spark, plan):
+    slots = sorted((r.slot, r.ord, r.rank) for r in mixing.schedule(spark, plan, slots_a_range=64).collect())
+    total, seen = sum(n for _, n in plan), dict.fromkeys((o for o, _ in plan), 0)
+    assert len(slots) == total
+    worst = 0.0
+    for k, (_, o, rank) in enumerate(slots, 1):
+        assert rank == seen[o]
+        seen[o] += 1
+        worst = max(worst, *(abs(seen[p] - k * n / total) for p, n in plan))
+    assert dict(plan) == seen and worst <= 2 + math.log2(total + 1)  # runs would stray by a quarter of the total
+
+
+def test_equal_rows_share_their_uses(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    rows = [(1, "a b c", "en", "s")] * 9 + [(1, "a b c", "de", "s")] * 4 + [(2, "x y", "en", "s"), (None, "p q r s", "en", None), (3, None, "en", "t")]
+    frame = docs(spark, rows).repartition(3)
+    mixed = spark.createDataFrame([(mixing_place(spark, i, t), s, n) for (i, t, _, s), n in zip(rows, [3, 1, 0, 2, 0, 0, 1, 1, 1, 0, 0, 1, 1, 2, 1, 0], strict=True)], "place string, source string, uses long")
+    got = [(r.doc_id, r.text, r.lang, r.source) for r in mixing.replicate(frame, mixed).collect()]
+    want = [(1, "a b c", "de", "s")] * 4 + [(1, "a b c", "en", "s")] * 7 + [(2, "x y", "en", "s")] * 2 + [(None, "p q r s", "en", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def mixing_place(spark, i, text):
+    df = spark.createDataFrame([(i, text)], "i long, t string")
+    return df.select(mixing.place_of(F.col("i"), F.col("t"), 7)).first()[0]
+
+
 def grouped(n, links):
     label = list(range(n))
     for a, b in links:
