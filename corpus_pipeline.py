@@ -11,11 +11,11 @@ one of repeated rows, and decides by row, not by id; empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import decontaminate, language, mixing, neardup, token_files
-from assay.llm.common import materialize, scratch_path, table
+from assay.llm.common import discard, materialize, scratch_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,13 +33,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that with the smallest id, a null id last; of equal ids the first row.
 
-    Ids may be null or repeated, so rows are told apart by a number, which being written fixes."""
-    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    groups = neardup.near_duplicates(rows, id_col="row").where("n_shingles > 0").select(F.col("id").alias("row"), F.col("component_id").alias("group"))
-    least = Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    held = groups.join(rows.select("row", "doc_id"), "row").withColumn("nth", F.row_number().over(least))
-    gone = materialize(held.where("nth > 1").select("row"), "gone")
-    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+    Ids may be null or repeated, so rows are told apart by a number, which being written fixes. A group's first row is an aggregate's minimum, so no
+    task holds a group."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows, id_col="_row")
+    groups = found.select(F.col("id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_row").alias("at"))
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("group").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.at").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +71,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # what an earlier stage wrote
+        docs = kept
+    last = materialize(STAGES[-1][1](spark, docs, sf_dir), "last")
+    discard(docs)
+    return last
 
 
 #: Character models, sketches and token files are not SQL; tests/llm holds the stages against brute force.
