@@ -194,16 +194,16 @@ t AS (
 p AS (
   SELECT d.*, t.source_size, t.target, least(round_even(target, 0)::BIGINT, 3 * t.source_size) AS goal,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 n AS (
   SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST) - slots AS low, sum(slots) OVER () AS every
   FROM (SELECT source, goal, source_size, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * ((source_size + 4095) // 4096) + (goal % source_size + 4095) // 4096 END AS slots
         FROM (SELECT source, target, source_size, least(round_even(target, 0)::BIGINT, 3 * source_size) AS goal FROM t))),
 b AS (SELECT any_value(every)::BIGINT AS every, (SELECT min(k) FROM range(0, 62) x(k) WHERE (1::BIGINT << k) >= any_value(n.every)) AS bits FROM n),
 v AS (
-  SELECT i, (SELECT coalesce(sum(((i >> k) & 1) << (bits - 1 - k)), 0) FROM range(0, 62) x(k) WHERE k < bits) AS at, every
+  SELECT i, (SELECT coalesce(sum(((i >> k) & 1) << (bits - 1 - k)), 0) FROM range(0, 62) x(k) WHERE k < bits) AS point, every
   FROM b, range(0, (SELECT CASE WHEN every > 0 THEN 1::BIGINT << bits ELSE 0 END FROM b)) y(i)),
-s2 AS (SELECT n.source, v.i AS slot, row_number() OVER (PARTITION BY n.source ORDER BY v.i) - 1 AS rank FROM v JOIN n ON at >= low AND at < low + slots WHERE at < v.every)
+s2 AS (SELECT n.source, v.i AS slot, row_number() OVER (PARTITION BY n.source ORDER BY v.i) - 1 AS rank FROM v JOIN n ON point >= low AND point < low + slots WHERE point < v.every)
 SELECT doc_id, size, p.source_size, target,
   CASE WHEN p.source_size = 0 THEN 0 ELSE (p.goal // p.source_size) * size + greatest(least(start + size, p.goal % p.source_size) - start, 0) END::BIGINT AS taken,
   CASE WHEN size > 0 AND NOT (p.goal // p.source_size = 0 AND start >= p.goal % p.source_size) THEN slot END AS first_slot
