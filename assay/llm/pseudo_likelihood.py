@@ -6,14 +6,15 @@ CLASSES * MEMBERS ids. The commonest words have an id each; the others share ids
 and a word has its count's share of its id's probability; the last id belongs to unknown words (those seen once), which
 share it evenly. The network adds the neighbours' embeddings, each scaled by its place's own vector, through tanh to a
 hidden layer, and predicts the id's class and then its member (two small softmaxes). A document's score is the sum over
-its words of the conditional log-probability given both sides; how many of its words are unknown stands beside it.
+its words of the conditional log-probability given both sides. Beside it stand how many of its words are unknown, and
+how many are barely known, as often seen as an entry needs: of a text's rare words few are known unless the corpus holds it again.
 
 Training reads all documents and predicts every word, with Adagrad from a common start. Documents are dealt to networks of
 about ``words_a_network`` words by a hash of id and text and trained on in that hash's order, so the result does not depend on
 how the input is split; the networks are averaged, weighed by their words, in a tree of at most FAN a group.
 
 Bounds: the network has a fixed size (0.6 MB). At most ``own_words`` words have entries; where a corpus has more, the
-least count that makes an entry rises by powers of two and the words below it are unknown ones. An entry takes 14 bytes in
+least count that makes an entry rises by powers of two and the words below it are unknown ones. An entry takes 15 bytes in
 the driver and in each worker, and 8 more for its index.
 
 Cases: null and empty texts have 0 words, sum 0 and a null mean; outside a document stand border words; rows are scored
@@ -44,15 +45,16 @@ SHAPES = {"embed": (WORDS + 1, WIDTH), "scale": (len(PLACES), WIDTH), "shift": (
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of known words with their ids and the logarithms of their shares of them; rarer is how many words are unknown."""
+    """Sorted hashes of known words with their ids, the logarithms of their shares of them, and whether they are barely known; rarer is how many words are unknown."""
 
     hashes: np.ndarray
     ids: np.ndarray
     share: np.ndarray
+    barely: np.ndarray
     rarer: int
 
     @staticmethod
-    def of(hashes: np.ndarray, counts: np.ndarray, rarer: int) -> Vocabulary:
+    def of(hashes: np.ndarray, counts: np.ndarray, rarer: int, least: int = 2) -> Vocabulary:
         order = np.lexsort((hashes, -counts))
         n, most = counts[order].astype(np.float64), UNKNOWN
         rest = n[::-1].cumsum()[::-1]  # the mass from each rank on
@@ -67,7 +69,7 @@ class Vocabulary:
             ids[few:] = few + at
             share[few:] = np.log(n[few:] / np.bincount(at, n[few:], minlength=bins)[at])
         back = np.argsort(hashes[order])
-        return Vocabulary(hashes[order][back], ids[back].astype(np.uint16), share[back].astype(np.float32), rarer)
+        return Vocabulary(hashes[order][back], ids[back].astype(np.uint16), share[back].astype(np.float32), n[back] == least, rarer)
 
 
 class Coder:
@@ -77,10 +79,12 @@ class Coder:
         self.finder, self.unknown = Finder(words.hashes), -float(np.log(max(1, words.rarer)))
         self.ids = np.append(words.ids, np.uint16(UNKNOWN))  # the last entry answers for -1
         self.share = np.append(words.share, np.float32(self.unknown))
+        self.barely = np.append(words.barely, False)
 
-    def code(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, shares, barely known?)"""
         at = self.finder.find(h)
-        return self.ids[at], self.share[at]
+        return self.ids[at], self.share[at], self.barely[at]
 
 
 @dataclass
@@ -198,15 +202,15 @@ class Trainer:
             self.net.p[k][at] += self.rate * x / np.sqrt(past)
 
 
-def coded(coder: Coder, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, shares, neighbours' ids, where each text begins, with the end) of some whole texts at a time."""
+def coded(coder: Coder, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, shares, barely known?, neighbours' ids, where each text begins, with the end) of some whole texts at a time."""
     for data, offsets in groups(column):
         h, at = word_hashes_of(data, offsets)
-        ids, share = coder.code(h)
+        ids, share, barely = coder.code(h)
         place = np.arange(len(ids)) + SIDE * (2 * np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
         padded = np.full(len(ids) + 2 * SIDE * (len(at) - 1), BORDER, np.int16)
         padded[place] = ids
-        yield ids.astype(np.int16), share, np.stack([padded[place + j] for j in PLACES], axis=1), at
+        yield ids.astype(np.int16), share, barely, np.stack([padded[place + j] for j in PLACES], axis=1), at
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +232,7 @@ def vocabulary(texts: DataFrame, own_words: int = 1 << 22) -> tuple[Vocabulary,
     while sum(r.words for b, r in by_bits.items() if b >= bits) > own_words:
         bits += 1
     own = counted.where(F.col("n") >= 1 << (bits - 1)).toArrow()
-    found = Vocabulary.of(own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy(), sum(r.words for b, r in by_bits.items() if b < bits))
+    found = Vocabulary.of(own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy(), sum(r.words for b, r in by_bits.items() if b < bits), 1 << (bits - 1))
     discard(counted)
     return found, sum(r.n for r in by_bits.values())
 
@@ -250,7 +254,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         ids, around, held = [], [], 0
 
     for batch in batches:
-        for own, _, near, _ in coded(coder, batch.column(0)):
+        for own, _, _, near, _ in coded(coder, batch.column(0)):
             for i in range(0, len(own), CHUNK):
                 ids.append(own[i : i + CHUNK]), around.append(near[i : i + CHUNK])
                 held += len(ids[-1])
@@ -300,25 +304,27 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     return model
 
 
-def score_column(net: Network, coder: Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, sum of log-probabilities, unknown words) of each text."""
-    count, total, unknown = [], [], []
-    for ids, share, around, at in coded(coder, column):
+def score_column(net: Network, coder: Coder, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sum of log-probabilities, unknown words, barely known ones) of each text."""
+    count, total, unknown, barely = [], [], [], []
+    for ids, share, few, around, at in coded(coder, column):
         p = share.astype(np.float64)
         for i in range(0, len(ids), CHUNK):
             p[i : i + CHUNK] += net.log_prob(ids[i : i + CHUNK], around[i : i + CHUNK])
         n = np.diff(at)
-        count.append(n), total.append(np.zeros(len(n))), unknown.append(np.zeros(len(n), np.int64))
+        count.append(n), total.append(np.zeros(len(n)))
+        unknown.append(np.zeros(len(n), np.int64)), barely.append(np.zeros(len(n), np.int64))
         own = np.flatnonzero(n)
         if own.size:
             total[-1][own] = np.add.reduceat(p, at[own])
             unknown[-1][own] = np.add.reduceat((ids == UNKNOWN).astype(np.int64), at[own])
+            barely[-1][own] = np.add.reduceat(few.astype(np.int64), at[own])
     none = [np.empty(0, np.int64)]
-    return np.concatenate(none + count), np.concatenate([np.empty(0), *total]), np.concatenate(none + unknown)
+    return np.concatenate(none + count), np.concatenate([np.empty(0), *total]), np.concatenate(none + unknown), np.concatenate(none + barely)
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_words, log_prob, n_unknown): the sum of each word's log-probability given its neighbours."""
+    """Rows (id, n_words, log_prob, n_unknown, n_barely): the sum of each word's log-probability given its neighbours."""
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -327,17 +333,19 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         made = sent.value and (Network(sent.value.flat), Coder(sent.value.words))
         for batch in batches:
             if made:
-                n, total, unknown = score_column(*made, batch.column(1))
+                n, total, unknown, barely = score_column(*made, batch.column(1))
             else:
-                n = unknown = np.zeros(batch.num_rows, np.int64)
+                n = unknown = barely = np.zeros(batch.num_rows, np.int64)
                 total = np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(unknown)], ["id", "n_words", "log_prob", "n_unknown"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, total, unknown, barely))], ["id", "n_words", "log_prob", "n_unknown", "n_barely"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, log_prob double, n_unknown long")
+    return rows.mapInArrow(run, "id long, n_words long, log_prob double, n_unknown long, n_barely long")
 
 
 def op5_pseudo_likelihood(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs))
-    return scored.select(F.col("id").alias("doc_id"), "n_words", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_prob"), "n_unknown")
+    mean = F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))
+    rare_known = F.col("n_barely") / F.nullif(F.col("n_barely") + F.col("n_unknown"), F.lit(0))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", "log_prob", mean.alias("mean_log_prob"), "n_unknown", "n_barely", F.coalesce(rare_known, F.lit(0.0)).alias("rare_known"))

@@ -153,6 +153,9 @@ def test_op5(spark, folder):
             counts[w] = counts.get(w, 0) + 1
     unknown = lambda t: sum(counts[w] == 1 for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
     assert sorted(((r.doc_id, r.n_unknown) for r in got), key=str) == sorted(((i, unknown(t)) for i, t, *_ in folder[1]), key=str)
+    barely = lambda t: sum(counts[w] == 2 for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    rare = [(i, barely(t), round(barely(t) / max(1, barely(t) + unknown(t)), 9)) for i, t, *_ in folder[1]]
+    assert sorted(((r.doc_id, r.n_barely, round(r.rare_known, 9)) for r in got), key=str) == sorted(rare, key=str)
     again = registry.QUERIES["op5_pseudo_likelihood"](spark, folder[0]).collect()
     assert sorted(((r.doc_id, round(r.log_prob, 3)) for r in again), key=str) == sorted(((r.doc_id, round(r.log_prob, 3)) for r in got), key=str)
 

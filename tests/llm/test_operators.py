@@ -342,7 +342,8 @@ def test_pseudo_likelihood_against_loops(monkeypatch):
     net = pseudo_likelihood.Network(seed=5)
     coder = pseudo_likelihood.Coder(small_vocabulary({w: i + 2 for i, w in enumerate("abcdxy")}, rarer=8))
     texts = ["a b c d e", "", None, "one", "x y " * 50]
-    n, total, unknown = pseudo_likelihood.score_column(net, coder, pa.array(texts))
+    n, total, unknown, barely = pseudo_likelihood.score_column(net, coder, pa.array(texts))
+    assert barely.tolist() == [1, 0, 0, 0, 0]  # a is seen twice
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
     for t, k, got, no in zip(texts, n, total, unknown, strict=True):
         words, want = (t or "").split(), 0.0
@@ -400,7 +401,7 @@ def test_training_prefers_seen_order(spark):
     mixed = held[:]
     rng.shuffle(mixed)
     for n in (net, pseudo_likelihood.Network(parts.flat)):
-        _, total, _ = pseudo_likelihood.score_column(n, coder, pa.array([" ".join(held), " ".join(mixed)]))
+        _, total, *_ = pseudo_likelihood.score_column(n, coder, pa.array([" ".join(held), " ".join(mixed)]))
         assert total[0] > total[1] and total[0] / 400 > -np.log(pseudo_likelihood.WORDS)
     assert pseudo_likelihood.train(docs(spark, [(1, None), (2, "")])) is None and pseudo_likelihood.train(docs(spark, rows).limit(0)) is None
     assert pseudo_likelihood.score(docs(spark, ODD), model).count() == len(ODD) and pseudo_likelihood.score(docs(spark, ODD).limit(0), model).count() == 0
