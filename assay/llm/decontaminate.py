@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import discard, forget_others, materialize, remember, ship, table
-from assay.llm.shingles import WordHashes, rolling
+from assay.llm.shingles import rolling
+from assay.llm.words import groups, hash_of, is_space, lowered, slice_hashes, word_starts
 
 UNIT = 64  # a weight of 1, as an integer
 BLOCKS, WIDTH = 4, 16
@@ -40,22 +40,55 @@ PIECE = 1 << 16
 EDGE = "\"'`.,;:!?()[]{}<>*#|-_"
 
 
-class _Normal(WordHashes):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        plain = word.decode("utf-8", "replace").lower().strip(EDGE)
-        out = self[word] = xxhash.xxh64_intdigest(plain.encode() or word)
-        return out
-
-
-_normal = _Normal()
-remember("plain words", _normal.clear)
+_EDGE = np.zeros(256, bool)
+_EDGE[list(EDGE.encode())] = True
+
+
+#: Of words with letters beyond ASCII, hash with A-Z lower-cased -> hash with all letters lower-cased.
+_lowered: dict[int, int] = {}
+MOST = 500_000
+remember("plain words", _lowered.clear)
+
+
+def plain_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's word hashes, in order: lower-cased, without the signs around words (a word of signs alone keeps them)."""
+    for data, offsets in groups(column):
+        blank = is_space(data)
+        starts = word_starts(data, offsets, blank)
+        if not len(starts):
+            yield from (np.empty(0, np.uint64) for _ in offsets[1:])
+            continue
+        ends = np.append(starts[1:], len(data))
+        solid = np.flatnonzero(~(blank | _EDGE[data]))
+        low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        there = np.append(solid, 0)
+        begin, end = np.where(low < high, there[low], starts), there[high - 1] + 1
+        signs = np.flatnonzero(low == high)
+        gaps = np.flatnonzero(blank)  # a word of signs ends at the next white space or text
+        end[signs] = np.minimum(np.append(gaps, len(data))[np.searchsorted(gaps, starts[signs])], ends[signs])
+        step = np.zeros(len(data) + 1, np.int8)
+        step[begin] += 1
+        step[end] -= 1
+        h = slice_hashes(lowered(data), begin, np.cumsum(step[:-1], dtype=np.int8) == 0)
+        wide = np.concatenate([[0], np.cumsum(data >= 128)])
+        text = data.tobytes()
+        odd = np.flatnonzero(wide[ends] > wide[starts])
+        said = [_lowered.get(x) for x in h[odd].tolist()]
+        for i, x in enumerate(said):
+            if x is None:
+                if len(_lowered) >= MOST:
+                    _lowered.clear()
+                k = odd[i]
+                said[i] = _lowered[int(h[k])] = hash_of(text[begin[k] : end[k]].decode("utf-8", "replace").lower().encode())
+        h[odd] = np.array(said, np.uint64)
+        at = np.searchsorted(starts, offsets)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield h[a:b]
 
 
 def hashes(text: str | None) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    return np.fromiter(map(_normal.__getitem__, words), np.uint64, len(words))
+    (h,) = plain_words(pa.array([text], pa.string()))
+    return h
 
 
 def bits_of(x: np.ndarray) -> np.ndarray:
@@ -101,16 +134,14 @@ class Items:
         self.prints = np.array([fold((bits_of(g).astype(np.int32) * self.weights(g)[:, None]).sum(axis=0)[None, :])[0] for g in grams], np.uint64)
         flips = np.arange(1 << WIDTH, dtype=np.uint16)
         self.flips = flips[np.bitwise_count(flips) <= radius // BLOCKS]
-        # For each size and block the items in order of the block's value, and which values there are.
+        # For each size and block the items in order of the block's value.
         self.index = {}
         for s, own in self.sizes.items():
             own = np.array(own)
             for j in range(BLOCKS):
                 v = self.block(self.prints[own], j)
                 order = np.argsort(v, kind="stable")
-                there = np.zeros(1 << WIDTH, bool)
-                there[v] = True
-                self.index[s, j] = v[order], own[order], np.packbits(there)
+                self.index[s, j] = v[order], own[order]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.many):
@@ -142,14 +173,15 @@ class Items:
         """(window, item) pairs of all fingerprints within the radius."""
         found = []
         for j in range(BLOCKS):
-            values, own, there = self.index[size, j]
+            values, own = self.index[size, j]
+            there = np.zeros(1 << WIDTH, bool)
+            there[values] = True
             for a in range(0, len(prints), 256):
-                probes = self.block(prints[a : a + 256], j)[:, None] ^ self.flips
-                hit = (there[probes >> 3] >> (7 - (probes & 7)).astype(np.uint8)) & 1
-                window, flip = np.nonzero(hit)
-                if not window.size:
+                probes = (self.block(prints[a : a + 256], j)[:, None] ^ self.flips).ravel()
+                hit = np.flatnonzero(there[probes])
+                if not hit.size:
                     continue
-                v = probes[window, flip]
+                window, v = hit // len(self.flips), probes[hit]
                 low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
                 n = high - low
                 item = own[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
@@ -170,9 +202,9 @@ class Items:
         w = self.weights(every)
         return float((w * np.minimum(a, b)).sum() / (w * np.maximum(a, b)).sum())
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
-        """(item, start, words, similarity, distance in bits), the best window of each item."""
-        h, best = hashes(text), {}
+    def leaks(self, h: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+        """(item, start, words, similarity, distance in bits), the best window of each item, in a text's word hashes."""
+        best: dict[int, tuple[float, int, int, int]] = {}
         longest = max(self.sizes, default=0)
         for a in range(0, len(h), PIECE):
             self._piece(h[a : a + PIECE + longest - 1], a, best, not a and len(h) < PIECE + longest)
@@ -248,7 +280,7 @@ def _shared(items: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("plain words")
         for batch in batches:
-            own = [np.unique(rolling(hashes(t), shingle)) for t in batch.column(0).to_pylist()]
+            own = [np.unique(rolling(h, shingle)) for h in plain_words(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], ["gram"])
 
     held = items.select("text").mapInArrow(grams, "gram long").groupBy("gram").agg(F.count("*").cast("int").alias("n")).where("n > 1").toArrow()
@@ -263,8 +295,8 @@ def _pass(sent, shared, shingle: int, radius: int, similarity: float):
         items = Items(sent.value, shingle, radius, similarity, shared.value)
         for batch in batches:
             out = []
-            for text, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = [{"item_id": items.ids[k], "start": a, "words": n, "similarity": s, "distance": d} for k, a, n, s, d in items.leaks(text)]
+            for h, had in zip(plain_words(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                own = [{"item_id": items.ids[k], "start": a, "words": n, "similarity": s, "distance": d} for k, a, n, s, d in items.leaks(h)]
                 out.append([*had, *own])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, _LEAK), *batch.columns[3:]], batch.schema.names)
 

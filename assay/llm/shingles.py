@@ -4,26 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 from assay.llm.words import hashed_texts
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
-
-    def __init__(self, most: int = 300_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def scrambled(x: np.ndarray) -> np.ndarray:
     """A one-to-one mix of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

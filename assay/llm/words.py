@@ -77,16 +77,29 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, blank: np.ndarray | None
     return out
 
 
+def hash_of(word: bytes) -> int:
+    """What slice_hashes gives for one word."""
+    if len(word) > PLACES:
+        return xxhash.xxh64_intdigest(word)
+    at = np.arange(len(word)) << 8 | np.frombuffer(word, np.uint8)
+    return int(_TABLE[at].sum(dtype=np.uint64))
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Where words between blanks begin; none reaches from one text to the next."""
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[first] = ~blank[first]
+    return np.flatnonzero(begins)
+
+
 def word_hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, and where each text's words begin, with the end): words between ASCII white space, A-Z lower-cased."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
     blank = is_space(data)
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[first] = ~blank[first]
-    starts = np.flatnonzero(begins)
+    starts = word_starts(data, offsets, blank)
     return slice_hashes(lowered(data), starts, blank), np.searchsorted(starts, offsets)
 
 

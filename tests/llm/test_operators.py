@@ -185,6 +185,22 @@ def test_blocks_of_items_change_nothing(spark):
     assert len(want) > 15 and leaks(2) == want == leaks(5)
 
 
+def test_words_without_the_signs_around_them(monkeypatch):
+    from assay.llm import words
+
+    rng, texts = random.Random(6), [None, "", "...", '"A"', "é.", "K k", "--- x"]
+    for _ in range(200):
+        texts.append("".join(rng.choice(["a", "B", ".", "(", ")", "-", "_", "é", "Ü", "ß", "İ", "K", " ", " ", "\n", "w" * 70, "...", "\u00a0", "7"]) for _ in range(rng.choice([1, 4, 50]))))
+    known = {}
+    for size in (1, 60, 1 << 15):
+        monkeypatch.setattr(words, "GROUP", size)
+        got = list(decontaminate.plain_words(pa.array(["x.", *texts]).slice(1)))
+        for t, h in zip(texts, got, strict=True):
+            want = [w.decode().lower().strip(decontaminate.EDGE) or w.decode() for w in (t or "").encode().split()]
+            assert len(h) == len(want) and all(known.setdefault(w, x) == x for w, x in zip(want, h.tolist(), strict=True)), t
+    assert len(set(known.values())) == len(known) > 100
+
+
 def test_fingerprints_within_the_radius_are_found():
     """All of them, by flips of blocks; and how many similar windows lie within it."""
     rng = np.random.default_rng(4)
