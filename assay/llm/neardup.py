@@ -114,7 +114,7 @@ def _mark(shingles: np.ndarray) -> bytes:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, mark, sketch, bands): the set's size and 128-bit fingerprint, two bits of each bin, and its bucket keys."""
+    """Rows (id, told, n, mark, sketch, bands): a hash of the text, the set's size and 128-bit fingerprint, two bits of each bin, and its bucket keys."""
     ship(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +131,15 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 bands.append(np.empty(0, np.int64) if low is None else signer.bands(low))
             ends = np.cumsum([0, *map(len, bands)])
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "mark", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "told", "n", "mark", "sketch", "bands"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, mark binary, sketch binary, bands array<long>")
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("told"))
+    return rows.mapInArrow(sign, "id long, told long, n long, mark binary, sketch binary, bands array<long>")
 
 
 def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (node, shingles binary) of the given nodes (node, mark, rep), read from a document that stands for each."""
+    """Rows (node, shingles binary) of the given nodes (node, mark, rep, told), read from a document that stands for each: one with this id and hash of its text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
@@ -146,12 +147,13 @@ def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle:
             node, out = [], []
             for n, mark, words in zip(*(c.to_pylist() for c in batch.columns[:2]), hashed_texts(batch.column(2)), strict=True):
                 s = distinct(rolling(words, shingle))
-                if _mark(s) == mark:  # an id may stand for several texts
+                if _mark(s) == mark:
                     node.append(n), out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
-    docs = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    one = docs.join(nodes.withColumnRenamed("rep", "r"), F.col("rep").eqNullSafe(F.col("r"))).select("node", "mark", "text")
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    one = docs.join(nodes, (F.col("own") == F.col("told")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "mark", "text")
     return one.mapInArrow(read, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -173,7 +175,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (id, n_shingles, component_id): one for each document."""
     signed = materialize(sketches(df, id_col, text_col, shingle), "sketches")
     # A node a distinct set. Ids from monotonically_increasing_id are fixed by being written.
-    nodes = signed.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    one = F.struct("id", "told")
+    nodes = signed.where("n > 0").groupBy("mark").agg(F.coalesce(F.min(F.when(F.col("id").isNotNull(), one)), F.min(one)).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = nodes.select("mark", F.col("one.id").alias("rep"), F.col("one.told").alias("told"), "n", "sketch", "bands")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     held = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
@@ -183,7 +187,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = materialize(shared.select("key", "node").join(centre.select("key", (-F.col("top.c")).alias("c")), "key"), "members")
     count = degree.count()
     wanted = F.broadcast(degree.select("node")) if count <= FEW else degree.select("node")
-    asked = nodes.select("node", "mark", "rep").join(wanted, "node", "left_semi")
+    asked = nodes.select("node", "mark", "rep", "told").join(wanted, "node", "left_semi")
     sets = materialize(_sets(df, F.broadcast(asked) if count <= FEW else asked, id_col, text_col, shingle), "sets")
     joined = _joined(members, nodes.select("node", "n", "sketch"), sets, percent)
     named = nodes.select("mark", "node", "rep").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -191,6 +191,14 @@ def test_short_pairs_at_the_threshold_are_linked(spark, tmp_path):
     assert not lost
 
 
+def test_near_duplicates_without_ids(spark, tmp_path):
+    """Texts are found again by their hash, so rows without an id do not meet one another."""
+    rows = [(None, " ".join(f"g{g}w{j}" for j in range(30)) + (" tail" if k else ""), "en", "s", 1) for g in range(40) for k in range(3)] + [(7, "g0w0", "en", "s", 1), (7, " ".join(f"g3w{j}" for j in range(30)), "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(spark, "op7_near_duplicates", str(tmp_path), "doc_id", "n_shingles", "component_id")
+    assert got == brute_groups([(i, t) for i, t, *_ in rows], 2)
+
+
 def test_op8(spark, folder):
     import numpy as np
     import public_tokenizers
