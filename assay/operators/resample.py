@@ -8,6 +8,7 @@ engine), or from the Mersenne Twister and PCG-64 of the standard generators (sma
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,84 @@ def replicate_icc(plan: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame
     return t.select("rep", "n", F.try_divide(ms_r - ms_e, ms_r + ms_e + 2 * (ms_c - ms_e) / n).alias("icc_1"), F.try_divide(ms_r - ms_e, ms_r + (ms_c - ms_e) / n).alias("icc_k"), r.alias("pearson"))
 
 
+def replicate_cells(plan: DataFrame, rows: DataFrame, keys: list[str], held: int = 400_000) -> DataFrame:
+    """(rep, keys, w): how often each replicate draws each combination of values of the keys, which are numbers.
+
+    A plan joined to the combinations of every question would have a row for each replicate, question and combination. Instead both meet
+    partition by partition, in order of questions, and are multiplied as matrices, some ``held`` rows at a time; what is left to add
+    up is a row for each replicate and combination."""
+    cells = rows.groupBy("question_id", *keys).agg(F.count("*").alias("mult")).select("question_id", F.lit(None).cast("int").alias("rep"), "mult", *(F.col(k).cast("double").alias(k) for k in keys))
+    drawn = plan.select("question_id", F.col("rep").cast("int").alias("rep"), F.col("mult").cast("long").alias("mult"), *(F.lit(None).cast("double").alias(k) for k in keys))
+
+    def multiply(some: pd.DataFrame) -> pd.DataFrame | None:
+        is_cell = some["rep"].isna().to_numpy()
+        own, draws = some[is_cell], some[~is_cell]
+        if not len(own) or not len(draws):
+            return None
+        questions, q = np.unique(np.concatenate([own["question_id"].to_numpy(), draws["question_id"].to_numpy()]), return_inverse=True)
+        values, cell = np.unique(own[keys].to_numpy(np.float64), axis=0, return_inverse=True)
+        reps, rep = np.unique(draws["rep"].to_numpy(np.int64), return_inverse=True)
+        left, right = np.zeros((len(reps), len(questions))), np.zeros((len(questions), len(values)))
+        right[q[: len(own)], cell.ravel()] = own["mult"].to_numpy()
+        left[rep, q[len(own) :]] = draws["mult"].to_numpy()
+        w = left @ right
+        i, j = np.nonzero(w)
+        return pd.DataFrame({"rep": reps[i].astype(np.int32), **{k: values[j, n] for n, k in enumerate(keys)}, "w": w[i, j].astype(np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            rest.append(batch)
+            if sum(map(len, rest)) > held:
+                whole = pd.concat(rest)
+                last = whole["question_id"].iloc[-1]  # it may go on in the next batch
+                done, rest = whole[whole["question_id"] != last], [whole[whole["question_id"] == last]]
+                if (out := multiply(done)) is not None:
+                    yield out
+        if rest and (out := multiply(pd.concat(rest))) is not None:
+            yield out
+
+    form = "rep int, " + ", ".join(f"`{k}` double" for k in keys) + ", w long"
+    met = cells.unionByName(drawn).repartition("question_id").sortWithinPartitions("question_id")
+    return met.mapInPandas(run, form).groupBy("rep", *keys).agg(F.sum("w").alias("w"))
+
+
+def replicate_reliability(plan: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(rep, n, all measures of agreement of lanes a and b): all follow from how often each pair of scores is drawn."""
+    x, y, w, rep = F.col(a), F.col(b), F.col("w"), Window.partitionBy("rep")
+    cells = replicate_cells(plan, rows, [a, b])
+
+    def midrank(c: Column, name: str) -> Column:
+        upto = F.sum("w").over(rep.orderBy(name).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return upto - (F.sum("w").over(Window.partitionBy("rep", name)) - 1) / 2
+
+    n = F.sum("w").over(rep)
+    middle = F.sum(w * (x + y)).over(rep) / (2 * n)  # sums of squares keep their digits around it
+    cells = cells.withColumns({"_n": n, "_m": middle, "_rx": midrank(x, a) - (n + 1) / 2, "_ry": midrank(y, b) - (n + 1) / 2})
+    u, v, d, s = F.col(a) - F.col("_m"), F.col(b) - F.col("_m"), F.col(b) - F.col(a), F.abs(F.col(b) - F.col(a))
+    share = lambda c: F.sum(F.when(c, w).otherwise(0)) / F.sum(w)
+    t = cells.groupBy("rep").agg(
+        F.sum(w).alias("n"), *(F.sum(w * e).alias(k) for k, e in (("su", u), ("sv", v), ("suu", u * u), ("svv", v * v), ("suv", u * v), ("rxx", F.col("_rx") * F.col("_rx")), ("ryy", F.col("_ry") * F.col("_ry")), ("rxy", F.col("_rx") * F.col("_ry")), ("sabs", s))),
+        F.percentile(d, F.lit(0.025), w).alias("empirical_low"), F.percentile(d, F.lit(0.975), w).alias("empirical_high"),
+        share(s < 1e-9).alias("exact"), share(s <= 0.25).alias("within_25"), share(s <= 0.5).alias("within_50"), share(s <= 1.0).alias("within_100"),
+    )
+    c = F.col
+    more = F.nullif(c("n") - 1, F.lit(0))
+    mean, ss_d = (c("sv") - c("su")) / c("n"), c("suu") + c("svv") - 2 * c("suv")
+    sd = F.sqrt(F.greatest(F.lit(0.0), (ss_d - c("n") * mean * mean) / more))
+    # Around the middle both lanes' sums add up to 0.
+    ms_r, ms_c = (c("suu") + c("svv") + 2 * c("suv")) / 2 / more, (c("su") * c("su") + c("sv") * c("sv")) / c("n")
+    ms_e = (c("suu") + c("svv")) / more - ms_r - ms_c / more
+    vx, vy = c("suu") - c("su") * c("su") / c("n"), c("svv") - c("sv") * c("sv") / c("n")
+    r = F.when((vx > 0) & (vy > 0), F.try_divide(c("suv") - c("su") * c("sv") / c("n"), F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy))))
+    rho = F.when((c("rxx") > 0) & (c("ryy") > 0), F.try_divide(c("rxy"), F.sqrt("rxx") * F.sqrt("ryy")))
+    return t.select(
+        "rep", "n", mean.alias("mean_diff"), (c("sabs") / c("n")).alias("mean_abs_diff"), sd.alias("sd_diff"), r.alias("pearson"), rho.alias("spearman"), "exact", "within_25", "within_50", "within_100",
+        (mean - 1.96 * sd).alias("normal_low"), (mean + 1.96 * sd).alias("normal_high"), "empirical_low", "empirical_high",
+        F.try_divide(ms_r - ms_e, ms_r + ms_e + 2 * (ms_c - ms_e) / c("n")).alias("icc_1"), F.try_divide(ms_r - ms_e, ms_r + (ms_c - ms_e) / c("n")).alias("icc_k"),
+    )
+
+
 def replicate_spearman(plan: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
     """(rep, spearman): weighted midranks from each replicate's counts of distinct scores."""
     held = plan.join(rows.groupBy("question_id", a, b).agg(F.count("*").alias("n")), "question_id")

@@ -901,8 +901,8 @@ def _(spark, d):
 
 def rep_reliability(rows: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
     plan = B.hash_plan(rows.select("domain_id", "question_id").distinct(), reps, seed)
-    out = B.replicate_icc(plan, rows, "score_a", "score_b").join(B.replicate_spearman(plan, rows, "score_a", "score_b"), "rep")
-    return out.join(B.replicate_limits(plan, rows, "diff").withColumnsRenamed({"low": "empirical_low", "high": "empirical_high"}), "rep").join(B.replicate_rates(plan, rows, "diff"), "rep")
+    ship(rows.sparkSession)
+    return B.replicate_reliability(plan, rows, "score_a", "score_b")
 
 
 RELIABILITY = ["mean_diff", "mean_abs_diff", "pearson", "spearman", "exact", "within_25", "within_50", "within_100", "normal_low", "normal_high", "empirical_low", "empirical_high", "icc_1", "icc_k"]

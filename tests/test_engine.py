@@ -1,5 +1,6 @@
 """Hand-derived cases for the engine's operators."""
 
+import functools
 import json
 import math
 import os
@@ -351,6 +352,25 @@ def test_replicate_rates_against_drawn_rows(spark):
         assert all(math.isclose(got[rep][k], v, abs_tol=1e-9) for k, v in want.items())
 
 
+@pytest.mark.parametrize("held", [50, 400_000])
+def test_replicate_reliability_against_its_parts(spark, held, monkeypatch):
+    from assay.session import ship
+
+    ship(spark)
+    monkeypatch.setattr(B, "replicate_cells", functools.partial(B.replicate_cells, held=held))
+    rng = random.Random(2)
+    rows = [(q, rng.randint(0, 8) / 4, 0.0) for q in range(30) for _ in range(6)]
+    rows = [(q, a, min(2.0, max(0.0, a + rng.choice([-0.5, -0.25, 0, 0, 0, 0.25, 1.0])))) for q, a, _ in rows]
+    df = spark.createDataFrame([(q, a, b, b - a) for q, a, b in rows], "question_id long, a double, b double, d double")
+    plan = B.hash_plan(df.select("question_id", F.lit(1).alias("domain_id")).distinct(), 6, 3)
+    got = {r.rep: r.asDict() for r in B.replicate_reliability(plan, df, "a", "b").collect()}
+    parts = [B.replicate_icc(plan, df, "a", "b"), B.replicate_spearman(plan, df, "a", "b"), B.replicate_limits(plan, df, "d").withColumnsRenamed({"low": "empirical_low", "high": "empirical_high"}), B.replicate_rates(plan, df, "d")]
+    assert len(got) == 6
+    for part in parts:
+        for r in part.collect():
+            assert all(math.isclose(got[r.rep][k], v, abs_tol=1e-9) for k, v in r.asDict().items()), r
+
+
 def test_null_values_have_no_midrank_and_null_p_no_rank(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", None), ("a", 1.0), (None, 5.0), (None, 5.0)], "k string, x double")
     assert sorted(map(tuple, A.midranks(df, "x", by=["k"]).collect()), key=str) == sorted([("a", 2.0, 2.0), ("a", None, None), ("a", 1.0, 1.0), (None, 5.0, 1.5), (None, 5.0, 1.5)], key=str)
