@@ -423,6 +423,71 @@ def test_redaction_by_rules():
     assert T.sanitize("/Users/a/b", True) == "[redacted-local-path:b]" and T.sanitize(None, True) is None and T.sanitize([], True) == []
 
 
+def test_queries_without_sql_against_plain_readings(spark):
+    """On the smallest tables: p values from coefficients found by numpy, JSON read by the standard library, maps as dictionaries."""
+    from assay.queries import QUERIES as Q
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    from assay.plans import star as S
+
+    rows = [r.asDict() for r in S.paired(spark, data).collect()]
+    by = {}
+    for r in rows:
+        by.setdefault(r["model"], []).append(r)
+    for r in Q["verbosity_p"](spark, data).collect():
+        own = by[r.model]
+        rho = np.corrcoef([x["word_count"] for x in own], [x["pair_mean"] for x in own])[0, 1]
+        assert math.isclose(r.r, rho, rel_tol=1e-9) and math.isclose(r.p_value, prob.pearson_p(rho, len(own)), rel_tol=1e-6)
+    means = {}
+    for r in rows:
+        means.setdefault((r["model"], r["question_id"]), []).append(r["pair_mean"])
+    means = {k: float(np.mean(v)) for k, v in means.items()}
+    models, found = sorted(by), {(r.model_a, r.model_b): r for r in Q["wilcoxon_p"](spark, data).collect()}
+    for a in models:
+        for b in models:
+            d = [means[(a, q)] - means[(b, q)] for m, q in means if m == a and (b, q) in means] if a < b else []
+            d = [x for x in d if x]
+            if not d:
+                continue
+            size = sorted(map(abs, d))
+            rank = lambda x, size=size: sum(y < abs(x) for y in size) + (sum(y == abs(x) for y in size) + 1) / 2
+            plus, minus = sum(rank(x) for x in d if x > 0), sum(rank(x) for x in d if x < 0)
+            ties = sum(size.count(v) ** 3 - size.count(v) for v in set(size))
+            r = found[(a, b)]
+            assert math.isclose(r.w_plus, plus) and math.isclose(r.w_minus, minus) and math.isclose(r.p_value, prob.signed_rank_p(min(plus, minus), len(d), ties), rel_tol=1e-9)
+    p = sorted((r.p_value, f"{r.model_a}|{r.model_b}") for r in found.values())
+    adjusted = {k: min([1.0, *(q * len(p) / (j + 1) for j, (q, _) in enumerate(p) if j >= i)]) for i, (_, k) in enumerate(p)}
+    assert all(math.isclose(r.adjusted, adjusted[f"{r.model_a}|{r.model_b}"]) for r in found.values())
+    fit = Q["ols_p"](spark, data).collect()
+    y = np.array([r["pair_mean"] for r in rows])
+    columns = [np.ones(len(rows)), np.log1p([r["word_count"] for r in rows])]
+    for e in ("domain_id", "level", "regime"):
+        columns += [np.array([float(r[e] == v) for r in rows]) for v in sorted({r[e] for r in rows})[1:]]
+    beta, _, rank, _ = np.linalg.lstsq(np.stack(columns, axis=1), y, rcond=None)
+    assert math.isclose(fit[1].beta, beta[1], rel_tol=1e-6) and len(fit) == len(columns)
+    left = y - np.stack(columns, axis=1) @ beta
+    x = columns[1] - np.delete(np.stack(columns, axis=1), 1, axis=1) @ np.linalg.lstsq(np.delete(np.stack(columns, axis=1), 1, axis=1), columns[1], rcond=None)[0]
+    se = math.sqrt((left @ left) / (len(y) - rank) / (x @ x))
+    assert math.isclose(fit[1].se, se, rel_tol=1e-6) and math.isclose(fit[1].t, beta[1] / se, rel_tol=1e-6)
+    one = Q["log_size_p"](spark, data).first()
+    assert math.isclose(one.p_value, prob.pearson_p(one.r, one.n)) and math.isclose(one.slope / one.se, one.r * math.sqrt((one.n - 2) / (1 - one.r**2)), rel_tol=1e-9)
+    for r in Q["scaling_p"](spark, data).collect():
+        assert r.r is None or math.isclose(r.p_value, prob.pearson_p(r.r, r.n))
+    region = {r.r_name: str(r.r_regionkey) for r in S.table(spark, data, "region").collect()}
+    assert Q["kv_to_map"](spark, data).first().settings == region
+    docs = {r.doc_id: r for r in S.table(spark, data, "documents").collect()}
+    for r in Q["json_sanitized"](spark, data).collect():
+        clean, d = json.loads(r.clean)["doc"], docs[r.doc_id]
+        assert clean["local_path"]["basename"] == d.source and clean["n_chars"] == d.n_chars and clean["body"]["char_count"] == len(d.text)
+    ci = Q["bootstrap_rows_ci"](spark, data).collect()
+    for r in ci:
+        own = np.array([x["pair_mean"] for x in rows if x["level"] == r.level])
+        half = 1.96 * own.std() / math.sqrt(len(own))
+        assert r.reps == 1000 and abs(r.ci_mid - own.mean()) < 0.2 * half and abs(r.ci_high - r.ci_low - 2 * half) < 0.25 * half
+
+
 def test_command_line_report(spark, tmp_path, capsys):
     from assay import cli
     from assay import queries as Q
