@@ -6,9 +6,10 @@ import hashlib
 import json
 import posixpath
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from contextlib import suppress
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -38,6 +39,37 @@ def clean_utf8(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def contains_any(text: Column, patterns: Sequence[str]) -> Column:
+    """Does the text hold one of the strings?"""
+    return reduce(lambda a, b: a | b, (text.contains(p) for p in patterns), F.lit(False))
+
+
+def basename(path: Column) -> Column:
+    """A path's last part; slashes at its end do not count."""
+    return F.regexp_extract(path, "([^/]*)/*$", 1)
+
+
+def parsed_json(text: Column, schema: str) -> Column:
+    """JSON as the schema says; null where the text is none."""
+    return F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and one space after signs; null where the text is none."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out: list[str | None] = []
+        for t in texts:
+            try:
+                out.append(json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True) if isinstance(t, str) else None)
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
 def preview(text: Column, most: int = 80) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 

@@ -471,6 +471,36 @@ def _(spark, d):
     return S.table(spark, d, "documents").select("doc_id", T.clean_utf8(F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))).alias("clean"))
 
 
+@query("contains_any", "SELECT doc_id, contains(text, 'license') OR contains(text, 'password') OR contains(text, '@') AS told FROM documents")
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", T.contains_any(F.col("text"), ("license", "password", "@")).alias("told"))
+
+
+PATH_SQL = "'/Users/ann/' || source || '/notes ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '//' ELSE '' END"
+
+
+@query("path_basename", f"SELECT doc_id, regexp_extract({PATH_SQL}, '([^/]*)/*$', 1) AS name FROM documents")
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", T.basename(F.expr(PATH_SQL)).alias("name"))
+
+
+BROKEN_SQL = "CASE event_id % 5 WHEN 0 THEN substr(props, 2) WHEN 1 THEN NULL ELSE props END"
+
+
+@query("json_or_null", f"SELECT event_id, CASE WHEN json_valid({BROKEN_SQL}) THEN json_extract_string({BROKEN_SQL}, '$.k')::BIGINT END AS k FROM events")
+def _(spark, d):
+    return S.table(spark, d, "events").select("event_id", T.parsed_json(F.expr(BROKEN_SQL), "k long")["k"].alias("k"))
+
+
+UNSORTED_SQL = "'{\"z\":' || event_id || ',\"b\": {\"y\" :[1,2], \"a\":\"' || event_type || '\"}}'"
+
+
+@query("canonical_json", "SELECT event_id, '{\"b\": {\"a\": \"' || event_type || '\", \"y\": [1, 2]}, \"z\": ' || event_id || '}' AS clean FROM events")
+def _(spark, d):
+    ship(spark)
+    return S.table(spark, d, "events").select("event_id", T.canonical_json(F.expr(UNSORTED_SQL)).alias("clean"))
+
+
 @query("json_field", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events")
 def _(spark, d):
     return S.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
