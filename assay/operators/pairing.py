@@ -53,11 +53,10 @@ def pair_lanes(evals: DataFrame, keys: list[str], lanes: dict[str, tuple[str, st
         bad = duplicates(evals, keys, lanes).limit(5).collect()
         if bad:
             raise DuplicateRows(f"{score_col} more than once, for example {bad}")
-    any_lane = None
-    for spec in lanes.values():
-        any_lane = lane(*spec) if any_lane is None else any_lane | lane(*spec)
-    score = lambda spec: F.when(lane(*spec), F.col(score_col))
-    wide = evals.where(any_lane).groupBy(*keys).agg(*(F.max(score(s)).alias(n) for n, s in lanes.items()), *(F.count(score(s)).alias(f"_n_{n}") for n, s in lanes.items()))
+    # Patterns are matched once a row: the judge decides first, and scores of no lane are gone before the shuffle.
+    judges = sorted({judge for judge, _ in lanes.values()})
+    own = evals.where(F.col("judge_model").isin(judges)).select(*keys, *(F.when(lane(*s), F.col(score_col)).alias(f"_s_{n}") for n, s in lanes.items()))
+    wide = own.groupBy(*keys).agg(*(F.max(f"_s_{n}").alias(n) for n in lanes), *(F.count(f"_s_{n}").alias(f"_n_{n}") for n in lanes))
     if guard is None:
         told = lambda n: F.raise_error(F.concat(F.lit(f"{n} scored more than once: "), F.to_json(F.struct(*keys)))).cast("double")
         wide = wide.withColumns({n: F.when(F.col(f"_n_{n}") > 1, told(n)).otherwise(F.col(n)) for n in lanes})
