@@ -50,6 +50,53 @@ def test_near_duplicates_are_dropped_by_row(spark):
     assert C.drop_near_duplicates(spark, docs.limit(0), DATA).count() == 0
 
 
+FORM = "doc_id long, text string, lang string, source string, n_chars int"
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (None, "two words"), (5, "Été à l'œuvre, ok"), (5, "Été à l'œuvre, ok"), (None, None), (6, "long words here " * 9000), (7, "1 2 3"), (6, "six again, another text")]
+
+
+def odd_documents(spark):
+    rows = [(i, t, ("en", None)[k % 2], ("web", None, "code")[k % 3], len(t or "")) for k, (i, t) in enumerate(ODD)]
+    rows += [(100 + i, f"the quick brown fox {i} jumps over the lazy dog number {i * 7}", "en", "web", 50) for i in range(20)]
+    return spark.createDataFrame(rows, FORM).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "decontaminate", "mix", "tokens"])
+def test_stages_on_odd_rows_and_on_nothing(spark, name):
+    import corpus_pipeline as C
+
+    from tests.llm.test_operators import brute_groups
+
+    stage, docs = dict(C.STAGES)[name], odd_documents(spark)
+    rows = sorted(map(tuple, docs.collect()), key=str)
+    left = sorted(map(tuple, stage(spark, docs, DATA).collect()), key=str)
+    none = stage(spark, docs.limit(0), DATA)
+    assert none.count() == 0
+    if name == "tokens":
+        assert none.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted((r[0] for r in left), key=str) == sorted((r[0] for r in rows), key=str)
+        return
+    assert tuple(none.columns) == C.COLUMNS
+    if name == "language":  # what has no letter goes, repeated rows and null ids stay
+        assert left == [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    if name == "decontaminate":
+        assert left == rows
+    if name == "near_duplicates":
+        group = brute_groups([(k, r[1]) for k, r in enumerate(rows)], 5)
+        first = {}
+        for k, n, c in sorted(group, key=lambda g: (rows[g[0]][0] is None, rows[g[0]][0] or 0)):
+            first.setdefault(c if n else ("empty", k), k)
+        assert [(r[0], r[1]) for r in left] == sorted(((rows[k][0], rows[k][1]) for k in first.values()), key=str) or sorted((r[:2] for r in left), key=str) == sorted((rows[k][:2] for k in first.values()), key=str)
+    if name == "mix":
+        assert set(left) <= set(rows) and all(left.count(r) <= 3 * rows.count(r) for r in set(left)) and not any(r[1] is None or not r[1].split() for r in left)
+
+
+def test_run_on_nothing(spark, tmp_path):
+    import corpus_pipeline as C
+
+    odd_documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     import __spark_entry__ as e
 
