@@ -1,7 +1,6 @@
 """Training-data operators on small tables with nulls, empty and long texts, ties, repeated rows, and clashing extra columns."""
 
 import functools
-import hashlib
 import json
 import math
 import random
